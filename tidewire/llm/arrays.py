@@ -67,11 +67,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and the word offsets of the rows."""
+def word_bounds(data: np.ndarray, off: np.ndarray, of: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word (a run of bytes in ``of``), and the word offsets of the rows."""
     n = len(data)
     w = np.zeros(n + 1, bool)
-    w[:n] = WORD[data]
+    w[:n] = of[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     before = np.zeros(n + 1, bool)

@@ -17,6 +17,24 @@ def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_lines,)}
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity_crf, op5_quality_lines, op7_secret_scan, op10_pii_bootstrap)}
 
 ORACLE: dict[str, str] = {}
