@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urls
+
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -23,6 +29,12 @@ def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_simhash_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan
 
@@ -35,6 +47,6 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity_crf, op5_quality_lines, op7_secret_scan, op10_pii_bootstrap)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity_crf, op3_url_redirects, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op10_pii_bootstrap)}
 
 ORACLE: dict[str, str] = {}
