@@ -17,12 +17,24 @@ def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.plan(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -47,6 +59,6 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity_crf, op3_url_redirects, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op10_pii_bootstrap)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op10_pii_bootstrap)}
 
 ORACLE: dict[str, str] = {}
