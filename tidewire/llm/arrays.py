@@ -35,9 +35,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows, and row offsets (one more than rows).  Nulls become empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     n = len(column)
     if n == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)

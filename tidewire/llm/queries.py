@@ -53,12 +53,24 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.remove(_table(spark, sf_dir, "documents"))
+
+
+def op9_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rlz_dedup
+
+    return rlz_dedup.remove(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op10_pii_bootstrap)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op8_suffix_array, op9_relative_lz, op10_pii_bootstrap)}
 
 ORACLE: dict[str, str] = {}
