@@ -1,4 +1,4 @@
 """Queries over the news domain, by module."""
 
-from . import relational  # noqa: F401
+from . import relational, scalars  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

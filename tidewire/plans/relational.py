@@ -220,7 +220,7 @@ def join_05_list_containment(t) -> DataFrame:
 
 
 @query(
-    "SELECT u.user_id, p.first_ms FROM u LEFT JOIN (SELECT user_id, at, CAST(epoch_ms(at) AS BIGINT) AS first_ms FROM (SELECT user_id, min(ts) AS at FROM ev WHERE topic = 'purchase' GROUP BY 1)) p ON p.user_id = u.user_id AND p.at BETWEEN u.signed_up AND u.signed_up + INTERVAL 24 HOUR",
+    "SELECT u.user_id, p.first_ms FROM u LEFT JOIN (SELECT user_id, sent_at, CAST(epoch_ms(sent_at) AS BIGINT) AS first_ms FROM (SELECT user_id, min(ts) AS sent_at FROM ev WHERE topic = 'purchase' GROUP BY 1)) p ON p.user_id = u.user_id AND p.sent_at BETWEEN u.signed_up AND u.signed_up + INTERVAL 24 HOUR",
     "u AS (SELECT user_id, min(ts) AS signed_up FROM ev GROUP BY 1)",
 )
 def join_06_left_with_range(t) -> DataFrame:
@@ -273,9 +273,9 @@ def join_12_hydrate(t) -> DataFrame:
     return some.join(t.article_entities, "article_id").join(R.small(t.entities), "entity_id").groupBy("article_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("canonical_name")), "|").alias("names"))
 
 
-@query("SELECT p.p_partkey AS entity_id FROM part p WHERE p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+@query("SELECT p.p_partkey AS entity_id FROM part p WHERE p.p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def join_15_anti(t) -> DataFrame:
-    bought = t.read("lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("entity_id"))
+    bought = t.read("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("entity_id"))
     return t.entities.select("entity_id").join(bought, "entity_id", "left_anti")
 
 
@@ -393,7 +393,7 @@ def agg_19_threshold_curve(t) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("threshold"), F.col(str(i)).alias("active")) for i, x in enumerate(C.VELOCITY_CURVE)])).alias("r")).select("r.*")
 
 
-@query("SELECT least(len(list_filter(string_split(body, '.'), x -> length(trim(x)) >= 24)), 3) AS bullets, count(*) AS n FROM texts GROUP BY 1")
+@query("SELECT CAST(least(len(list_filter(string_split(body, '.'), lambda x: length(trim(x, ' ')) >= 24)), 3) AS BIGINT) AS bullets, count(*) AS n FROM texts GROUP BY 1")
 def agg_20_bullet_distribution(t) -> DataFrame:
     bullets = F.size(F.filter(F.split("body", r"\."), lambda x: F.length(F.trim(x)) >= 24))
     return t.texts.groupBy(F.least(bullets, F.lit(3)).cast("long").alias("bullets")).agg(F.count("*").alias("n"))

@@ -28,9 +28,22 @@ texts AS (SELECT doc_id, source, lang, text, trim(split_part(text, chr(10), 1),
 """
 
 
+def _whole_millis(sql: str) -> str:
+    """``epoch_ms(x)`` rounds in DuckDB; as ``epoch_us(x) // 1000`` it cuts, as Spark does."""
+    out, at = "", 0
+    while (i := sql.find("epoch_ms(", at)) >= 0:
+        depth, j = 1, i + len("epoch_ms(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += sql[at:i] + f"(epoch_us({_whole_millis(sql[i + len('epoch_ms(') : j - 1])}) // 1000)"
+        at = j
+    return out + sql[at:]
+
+
 def oracle(body: str, extra: str = "") -> str:
     """DuckDB SQL with the domain's views in front; ``extra`` holds further views."""
-    return f"WITH {CTES.strip()}{', ' + extra if extra else ''}\n{body}"
+    return _whole_millis(f"WITH {CTES.strip()}{', ' + extra if extra else ''}\n{body}")
 
 
 class Tables:
