@@ -1,6 +1,7 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
-Tokens are runs of ASCII letters, digits and bytes above 127, lower-cased.  Each
+Tokens are runs of ASCII letters, digits and bytes above 127, with A-Z and the
+Latin-1 letters lower-cased.  Each
 has hashed features: the token and its prefixes.  Spark counts, over all labelled
 training documents, in how many toxic and clean ones each feature occurs; a
 feature is *marked* if it leans towards toxic documents beyond chance
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import crf
+from .session import checkpoint
 
 BITS = 20
 PREFIXES = (5, 7, 9)  # bytes, besides the whole token
-LEAST_G2 = 24.0
+LEAST_G2 = 18.0
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
 
@@ -55,7 +57,11 @@ def _tokens(column: pa.Array):
     """Starts and ends of tokens, token offsets of rows, and a bucket for each feature of each token."""
     data, off = A.utf8(column)
     starts, ends, tok = A.word_bounds(data, off, TOKEN)
-    hasher = A.Hasher(A.LOWER[data])
+    lower = A.LOWER[data]
+    # U+00C0 to U+00DE, but for the multiplication sign, are C3 80 to C3 9E.
+    upper = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    lower[upper] += 32
+    hasher = A.Hasher(lower)
     buckets = [hasher.ranges(starts, ends) >> np.uint64(64 - BITS)]
     for k in PREFIXES:
         h = hasher.ranges(starts, np.minimum(ends, starts + k)) + np.uint64(k)
@@ -64,8 +70,9 @@ def _tokens(column: pa.Array):
 
 
 def training_rows(labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fold: doc_id, y."""
-    return labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    """Labelled rows outside the held-out fold: doc_id, y; once each, toxic if any row says so."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -86,21 +93,18 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "y").mapInArrow(count, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _log_odds(table) -> np.ndarray:
-    out = np.zeros(1 << BITS, np.float32)
-    total = table[table.bucket == -1]
-    t, c = int(total.toxic.sum()), int(total.clean.sum())
+def marked_buckets(table: DataFrame) -> DataFrame:
+    """(bucket, odds) of the buckets that lean towards toxic documents beyond chance."""
+    sums = {r.y: r.n for r in table.where("bucket = -1").select(F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("toxic").alias("n")), F.struct(F.lit(0).alias("y"), F.col("clean").alias("n")))).alias("r")).select("r.*").collect()}
+    t, c = float(sums.get(1) or 0), float(sums.get(0) or 0)
     if not t or not c:
-        return out
-    rest = table[table.bucket >= 0]
-    a, b = rest.toxic.to_numpy(float), rest.clean.to_numpy(float)
-    n, ea, eb = t + c, (a + b) * t / (t + c), (a + b) * c / (t + c)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * (np.where(a > 0, a * np.log(a / ea), 0) + np.where(b > 0, b * np.log(b / eb), 0) + np.where(t > a, (t - a) * np.log((t - a) * n / (t * (n - a - b))), 0) + np.where(c > b, (c - b) * np.log((c - b) * n / (c * (n - a - b))), 0))
-    odds = np.log((a + 0.5) / (t + 1)) - np.log((b + 0.5) / (c + 1))
-    marked = (g2 >= LEAST_G2) & (odds > 1.5)
-    out[rest.bucket.to_numpy()[marked]] = odds[marked]
-    return out
+        return table.where("false").select("bucket", F.lit(0.0).alias("odds"))
+    a, b, n = F.col("toxic"), F.col("clean"), t + c
+    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    held = a + b
+    g2 = 2 * (part(a, held * (t / n)) + part(b, held * (c / n)) + part(t - a, (n - held) * (t / n)) + part(c - b, (n - held) * (c / n)))
+    odds = F.log((a + 0.5) / (t + 1)) - F.log((b + 0.5) / (c + 1))
+    return table.where("bucket >= 0").where((g2 >= LEAST_G2) & (odds > 1.5)).select("bucket", odds.alias("odds"))
 
 
 def _marked(column: pa.Array, log_odds: np.ndarray):
@@ -183,8 +187,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Scorer:
     """Counts over all training documents, then the field and the link on at most ``sample_docs`` of them."""
     rows = training_rows(labels)
-    table = counts(docs.select("doc_id", "text").join(rows, "doc_id")).toPandas()  # 2 ** BITS + 1 rows at most
-    odds = _log_odds(table)
+    marked = marked_buckets(checkpoint(counts(docs.select("doc_id", "text").join(rows, "doc_id")))).toPandas()  # fewer than 2 ** BITS rows
+    odds = np.zeros(1 << BITS, np.float32)
+    odds[marked.bucket] = marked.odds
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast(odds)
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("places", pa.list_(pa.int64())), ("x", pa.list_(pa.float64()))])
