@@ -187,7 +187,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000) -> Scorer:
     """Counts over all training documents, then the field and the link on at most ``sample_docs`` of them."""
     rows = training_rows(labels)
-    marked = marked_buckets(checkpoint(counts(docs.select("doc_id", "text").join(rows, "doc_id")))).toPandas()  # fewer than 2 ** BITS rows
+    # Labels grow with the documents, so they are never broadcast: a hashed join, which need not sort the texts.
+    labelled = docs.select("doc_id", "text").join(rows.hint("shuffle_hash"), "doc_id")
+    marked = marked_buckets(checkpoint(counts(labelled))).toPandas()  # fewer than 2 ** BITS rows
     odds = np.zeros(1 << BITS, np.float32)
     odds[marked.bucket] = marked.odds
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
