@@ -140,9 +140,7 @@ def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(step[:-1]) > 0
 
 

@@ -164,17 +164,17 @@ def hits(column: pa.Array, ix: Index) -> list[tuple[int, int, int, int, int]]:
     pattern, diagonal = ix.of[where], np.repeat(places, many) - ix.place[where]
     width = ix.edits[pattern] + 1
     band = (diagonal + SEGMENT) // width
-    rows = np.repeat(np.searchsorted(noff, places, "right") - 1, many)
     base = int(band.max()) + 2
-    key = np.concatenate([pattern * base + band, pattern * base + band - 1])
-    both = np.concatenate([rows, rows])
-    order = np.lexsort((both, key))
-    key, both = key[order], both[order]
-    cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (both[1:] != both[:-1])))
-    shared = np.diff(np.append(cut, len(key)))
-    p, b, r = key[cut] // base, key[cut] % base, both[cut]
-    ok = shared >= ix.need[p]
-    p, b, r = p[ok], b[ok], r[ok]
+    key, shared = np.unique(np.concatenate([pattern * base + band, pattern * base + band - 1]), return_counts=True)
+    met = shared >= ix.need[key // base]
+    p, b = key[met] // base, key[met] % base
+    # The rows that a band's alignments can lie in.
+    low = b * (ix.edits[p] + 1) - SEGMENT
+    first = np.searchsorted(noff, np.maximum(low, 0), "right") - 1
+    last = np.searchsorted(noff, np.clip(low + 2 * (ix.edits[p] + 1) + ix.sizes[p], 0, len(x) - 1), "right") - 1
+    many = last - first + 1
+    p, b = np.repeat(p, many), np.repeat(b, many)
+    r = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
     out, seen = [], set()
     for i in range(0, len(p), 256):
         q = p[i : i + 256]
