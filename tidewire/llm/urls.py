@@ -81,7 +81,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b) pairs of URLs that redirect to, or are canonical links of, each other."""
     html = F.coalesce("html", F.lit(""))
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    of = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'>]+)""", 1)
+    value = r"""(?is)\b%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    of = lambda tag, name: F.concat(*[F.regexp_extract(tag, value % name, i) for i in (1, 2, 3)])
     refresh = lambda t: F.regexp_extract(of(t, "content"), r"(?is)url\s*=\s*(\S+)", 1)
     target = lambda t: (
         F.when(F.lower(of(t, "rel")) == "canonical", of(t, "href")).when(F.lower(of(t, "http-equiv")) == "refresh", refresh(t)).when(F.lower(of(t, "property")) == "og:url", of(t, "content"))
