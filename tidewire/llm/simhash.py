@@ -18,6 +18,13 @@ past the radius are marked, and a block is abandoned once all its lanes are.
 Units emit spanning links only (a lane with its group's smallest lane), never
 all pairs, and connected components over these links give the groups.
 
+:func:`one_of_each` also links documents whose sets of five-word shingles are
+alike (Jaccard of ``SIMILAR``); edits that leave that much move more bits than a
+small radius allows.  Buckets are then bands of minimum hashes, the same
+bit-sliced comparison runs with radius ``WIDE``, and lanes within it are linked
+if their sketches agree; a pair of Jaccard 0.8 shares a band with probability
+0.992, and agreement is an estimate with a standard error of 0.035.
+
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; rows with a null doc_id get a fingerprint and a null component; repeated
 rows each get a row; other columns are not read.
@@ -36,8 +43,10 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .components import components
 from .session import checkpoint
+from .suffixes import sequence_sums
 
 SIZE, SEED, RADIUS, TILE = 4, 42, 4, 2048
+SHINGLE, SIMILAR, WIDE, BANDS, BAND_ROWS, SKETCH = 5, 0.8, 20, 12, 5, 128
 _U = np.uint64
 
 
@@ -141,13 +150,19 @@ def near(fps: np.ndarray, upto: np.ndarray, radius: int = RADIUS, most: int = 1
         at = to
 
 
-def _local_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes with their group's smallest reachable lane; ``group`` marks runs that are compared among themselves."""
+def _local_links(fps: np.ndarray, group: np.ndarray, radius: int, sketch: np.ndarray | None = None, agree: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes with their group's smallest reachable lane; ``group`` marks runs that are compared among themselves.
+
+    With sketches, lanes within the radius are linked only if ``agree`` of their values are equal.
+    """
     n = len(fps)
     cut = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
     upto = cut[np.searchsorted(cut, np.arange(n), "right")]
     label = np.arange(n)
     for a, b in near(fps, upto, radius):
+        if sketch is not None:
+            fit = np.concatenate([(sketch[a[i : i + 65536]] == sketch[b[i : i + 65536]]).sum(1) >= agree for i in range(0, len(a), 65536)])
+            a, b = a[fit], b[fit]
         while True:
             la, lb = label[a], label[b]
             apart = la != lb
@@ -177,14 +192,20 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
     keyed = classes.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.part", "k.key")
+    return _compared(keyed, radius, tile)
+
+
+def _compared(keyed: DataFrame, radius: int, tile: int, agree: int = 0) -> DataFrame:
+    """Links among rows (fp, rep, part, key and, with ``agree``, sketch) of each (part, key)."""
+    more = ["sketch"] if agree else []
     sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sizes, ["part", "key"])
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    tiled = shared.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    tiled = shared.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     units = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("u"), F.lit(0).alias("v")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: i != F.col("own")), lambda i: F.struct(F.least(i, F.col("own")).alias("u"), F.greatest(i, F.col("own")).alias("v")))
     )
-    rows = tiled.select("fp", "rep", "part", "key", F.explode(units).alias("t")).select("fp", "rep", "part", "key", "t.u", "t.v")
+    rows = tiled.select("fp", "rep", "part", "key", *more, F.explode(units).alias("t")).select("fp", "rep", "part", "key", "t.u", "t.v", *more)
     unit = ["part", "key", "u", "v"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -193,17 +214,20 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
 
         def done(cols):
             same = np.ones(len(cols[0]), bool)
-            same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[2:]])
-            at, to = _local_links(cols[0].view(_U), np.cumsum(~same), radius)
+            same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[2:6]])
+            at, to = _local_links(cols[0].view(_U), np.cumsum(~same), radius, cols[6] if agree else None, agree)
             return A.batch(schema, cols[1][at], cols[1][to])
 
         for b in batches:
+            if not b.num_rows:
+                continue
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if agree:
+                data, _ = A.utf8(b.column(6))
+                cols.append(data.reshape(-1, SKETCH))
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            last = np.logical_and.reduce([c == c[-1] for c in cols[2:]])
+            last = np.logical_and.reduce([c == c[-1] for c in cols[2:6]])
             cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
             if cut:
                 yield done([c[:cut].copy() for c in cols])
@@ -211,7 +235,59 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
         if held and len(held[0]):
             yield done(held)
 
-    return rows.repartition(*unit).sortWithinPartitions(*unit, "fp").select("fp", "rep", *unit).mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition(*unit).sortWithinPartitions(*unit, "rep").select("fp", "rep", *unit, *more).mapInArrow(compare, "a long, b long").distinct()
+
+
+_FACTORS = np.random.default_rng(128).integers(1, 1 << 62, SKETCH, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+
+
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum hashes (rows x SKETCH) of the sets of SHINGLE-word shingles; the second array tells which rows have words.
+
+    A text with fewer words is one shingle.
+    """
+    data, off = A.utf8(column)
+    starts, ends, tok = A.word_bounds(data, off)
+    h = A.Hasher(A.LOWER[data]).ranges(starts, ends)
+    n = np.diff(tok)
+    total, down = sequence_sums(h)
+    size = np.minimum(n, SHINGLE)
+    many = np.where(n > 0, n - size + 1, 0)
+    first = np.cumsum(many) - many
+    row = np.repeat(np.arange(len(n)), many)
+    at = tok[row] + np.arange(int(many.sum())) - first[row]
+    shingles = A.mix((total[at + size[row]] - total[at]) * down[at])
+    some = n > 0
+    out = np.zeros((len(n), SKETCH), _U)
+    for k, f in enumerate(_FACTORS):
+        if len(shingles):
+            out[some, k] = np.minimum.reduceat(shingles * f, first[some])
+    return out, some
+
+
+def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """(a, b) over doc_id: enough links between documents of like shingle sets to connect all groups that share a band."""
+    fields = "doc_id long, fp long, sketch binary, bands array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def rows(batches):
+        for b in A.pieces(batches):
+            low, some = _sketches(b["text"])
+            low = low[some]
+            keys = np.zeros((len(low), BANDS), _U)
+            for i in range(BAND_ROWS):
+                keys = A.mix(keys ^ low[:, i * BANDS : (i + 1) * BANDS])
+            small = (A.mix(low) & _U(255)).astype(np.uint8)
+            kept = b.filter(pa.array(some))
+            yield A.batch(schema, kept["doc_id"], _column(kept["text"], SHINGLE).view(np.int64), [x.tobytes() for x in small], list(keys.view(np.int64)))
+
+    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, fields)
+    # Documents with the same sketch and fingerprint are one class; their links to its smallest id need no comparison.
+    made = checkpoint(made)
+    classes = made.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    keyed = classes.select("fp", "rep", "sketch", F.posexplode("bands").alias("part", "key"))
+    own = made.select("doc_id", "fp", "sketch").join(classes.select("fp", "sketch", "rep"), ["fp", "sketch"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return _compared(keyed, WIDE, tile, int(np.ceil((similar - 0.01) * SKETCH))).unionByName(own)
 
 
 def cluster(docs: DataFrame, size: int = SIZE, radius: int = RADIUS) -> DataFrame:
@@ -223,7 +299,14 @@ def cluster(docs: DataFrame, size: int = SIZE, radius: int = RADIUS) -> DataFram
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, size: int = SIZE, radius: int = RADIUS) -> DataFrame:
-    """The documents whose id is their component's smallest, with all columns; rows with a null id stay."""
-    gone = cluster(docs, size, radius).where("component_id <> doc_id").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, size: int = SIZE, radius: int = RADIUS, similar: float | None = SIMILAR) -> DataFrame:
+    """The documents whose id is the smallest of their group, with all columns; rows with a null id stay.
+
+    Groups join documents within ``radius`` bits and, unless ``similar`` is None, those with like shingle sets.
+    """
+    groups = cluster(docs, size, radius).where("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    if similar is not None:
+        groups = groups.unionByName(similar_links(docs, similar))
+        groups = components(groups).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    gone = groups.where("a <> b").select(F.col("a").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
