@@ -226,3 +226,11 @@ def test_q_gram_filter_loses_no_alignment():
         assert {ix.items[h[1]] for h in found} == want
         hit += bool(want)
     assert hit > 15
+
+
+def test_q_gram_filter_ignores_case_of_accented_letters():
+    import pyarrow as pa
+
+    item = "La éai éonleeau pour à éonqueê aivi çai þenaitreo × oiaux éoiré anvitre"
+    ix = decontam.index([(7, item)])
+    assert [h[0] for h in decontam.hits(pa.array(["", item.upper(), "à" * 80, item]), ix)] == [1, 3]

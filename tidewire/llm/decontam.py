@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised: A-Z lower-cased, every run of ASCII characters that are
-neither letters nor digits is one space.  A benchmark item of m bytes occurs in
+Texts are normalised: A-Z and the Latin-1 capitals lower-cased, every run of
+ASCII characters that are neither letters nor digits is one space.  A benchmark item of m bytes occurs in
 a text with at most e edits only if they share ``m - q + 1 - q * e`` q-grams
 whose diagonals (text place minus item place) span no more than e.  So
 
@@ -45,6 +45,8 @@ _U = np.uint64
 def _normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised bytes, row offsets, and the place of each byte in ``data``."""
     x = _FOLD[data]
+    # U+00C0 to U+00DE, but for the multiplication sign, are C3 80 to C3 9E.
+    x[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
     at = np.flatnonzero(keep)
