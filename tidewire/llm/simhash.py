@@ -47,6 +47,7 @@ from .suffixes import sequence_sums
 
 SIZE, SEED, RADIUS, TILE = 4, 42, 4, 2048
 SHINGLE, SIMILAR, WIDE, BANDS, BAND_ROWS, SKETCH = 5, 0.8, 20, 12, 5, 128
+WIDE_TILE = 4 * TILE  # rows with sketches are long, so a large bucket is sent to fewer units
 _U = np.uint64
 
 
@@ -195,13 +196,18 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     return _compared(keyed, radius, tile)
 
 
-def _compared(keyed: DataFrame, radius: int, tile: int, agree: int = 0) -> DataFrame:
-    """Links among rows (fp, rep, part, key and, with ``agree``, sketch) of each (part, key)."""
+def _compared(keyed: DataFrame, radius: int, tile: int, sketches: DataFrame | None = None, agree: int = 0) -> DataFrame:
+    """Links among rows (fp, rep, part, key) of each (part, key), that agree in the sketches (rep, sketch) if given.
+
+    Sketches are joined only to rows that share a bucket; most rows share none.
+    """
     more = ["sketch"] if agree else []
     sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keyed.join(sizes, ["part", "key"])
     tiles = F.ceil(F.col("n") / tile).cast("int")
     tiled = shared.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    if agree:
+        tiled = tiled.join(sketches, "rep")
     units = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("u"), F.lit(0).alias("v")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: i != F.col("own")), lambda i: F.struct(F.least(i, F.col("own")).alias("u"), F.greatest(i, F.col("own")).alias("v")))
     )
@@ -265,7 +271,7 @@ def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, some
 
 
-def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = TILE) -> DataFrame:
+def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = WIDE_TILE) -> DataFrame:
     """(a, b) over doc_id: enough links between documents of like shingle sets to connect all groups that share a band."""
     fields = "doc_id long, fp long, sketch binary, bands array<long>"
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -285,9 +291,10 @@ def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = TILE) -
     # Documents with the same sketch and fingerprint are one class; their links to its smallest id need no comparison.
     made = checkpoint(made)
     classes = made.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    keyed = classes.select("fp", "rep", "sketch", F.posexplode("bands").alias("part", "key"))
+    classes = checkpoint(classes)
+    keyed = classes.select("fp", "rep", F.posexplode("bands").alias("part", "key"))
     own = made.select("doc_id", "fp", "sketch").join(classes.select("fp", "sketch", "rep"), ["fp", "sketch"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return _compared(keyed, WIDE, tile, int(np.ceil((similar - 0.01) * SKETCH))).unionByName(own)
+    return _compared(keyed, WIDE, tile, classes.select("rep", "sketch"), int(np.ceil((similar - 0.01) * SKETCH))).unionByName(own)
 
 
 def cluster(docs: DataFrame, size: int = SIZE, radius: int = RADIUS) -> DataFrame:
