@@ -138,11 +138,46 @@ def test_simhash_groups(docs_of, spark, tile, monkeypatch):
     by = {r.doc_id: r for r in got}
     assert {i: (by[i].fingerprint, by[i].component_id) for i in fp} == {i: (f"{fp[i]:016x}", root[i]) for i in fp}
     assert by[None].component_id is None
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, similar=None)
     assert kept.schema.names == docs.schema.names
     assert {r.doc_id for r in kept.collect()} == {i for i in fp if root[i] == i} | {None}
 
 
+@pytest.mark.parametrize("tile", [simhash.WIDE_TILE, 4])
+def test_one_of_each_joins_like_shingle_sets(docs_of, spark, tile, monkeypatch):
+    """Kept documents lie between the groups of exact Jaccard 0.9 and those of 0.65, both with fingerprint links."""
+    rng = random.Random(11)
+    texts = [(0, None), (1, ""), (2, "one two"), (3, "One  two"), (4, "three four five")]
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(120)] for _ in range(4)]
+    for i in range(5, 45):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 6, 20])):
+            words[rng.randrange(len(words))] = f"new{i}"
+        texts.append((i, " ".join(words)))
+    links = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda docs, similar: links(docs, similar, tile))
+    docs = docs_of([*texts, (None, texts[9][1])], CLASH)
+    kept = simhash.one_of_each(docs)
+    assert kept.schema.names == docs.schema.names
+    got = {r.doc_id for r in kept.collect()}
+    words = {i: (t or "").lower().encode().split() for i, t in texts}
+    fp = {i: simhash.fingerprint(w) for i, w in words.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+
+    def roots(least):
+        root = {i: i for i in words}
+        for _ in words:
+            for i in words:
+                for j in words:
+                    alike = bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])
+                    if alike or bin(fp[i] ^ fp[j]).count("1") <= 4:
+                        root[i] = root[j] = min(root[i], root[j])
+        return {i for i in root if root[i] == i}
+
+    assert roots(0.65) | {None} <= got <= roots(0.9) | {None}
+    assert len(roots(0.9)) < len(words) - 10
+
+
 def test_tiles_split_large_buckets(spark):
     rng = np.random.default_rng(7)
     fps = [int(x) for x in rng.integers(0, 1 << 10, 60)]
