@@ -178,6 +178,30 @@ def test_one_of_each_joins_like_shingle_sets(docs_of, spark, tile, monkeypatch):
     assert len(roots(0.9)) < len(words) - 10
 
 
+@pytest.mark.parametrize("stars,tile", [(simhash.STARS, simhash.WIDE_TILE), (0, 3)])
+def test_shingle_sets_are_compared_exactly(docs_of, stars, tile, monkeypatch):
+    """Pairs around Jaccard 0.8, of 5-word shingles each, and a line repeated 2 and 40 times."""
+    monkeypatch.setattr(simhash, "STARS", stars)
+    rng = random.Random(5)
+    rows, want = [], set()
+
+    def add(a, b, linked):
+        i = len(rows)
+        rows.extend([(i, " ".join(a)), (i + 1, " ".join(b))])
+        if linked:
+            want.add(frozenset((i, i + 1)))
+
+    say = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(25):
+        for common in (79, 80, 81):  # of a union of 100 shingles
+            both, more = say(common + 4), say(100 - common)
+            add(both + more, both, common >= 80)
+        a, line = say(200), say(12)
+        add(a + line * 2, a + line * 40, True)
+    got = simhash.similar_links(docs_of(rows), 0.8, tile).collect()
+    assert {frozenset((r.a, r.b)) for r in got} == want
+
+
 def test_tiles_split_large_buckets(spark):
     rng = np.random.default_rng(7)
     fps = [int(x) for x in rng.integers(0, 1 << 10, 60)]

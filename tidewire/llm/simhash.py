@@ -18,12 +18,14 @@ past the radius are marked, and a block is abandoned once all its lanes are.
 Units emit spanning links only (a lane with its group's smallest lane), never
 all pairs, and connected components over these links give the groups.
 
-:func:`one_of_each` also links documents whose sets of five-word shingles are
-alike (Jaccard of ``SIMILAR``); edits that leave that much move more bits than a
-small radius allows.  Buckets are then bands of minimum hashes, the same
-bit-sliced comparison runs with radius ``WIDE``, and lanes within it are linked
-if their sketches agree; a pair of Jaccard 0.8 shares a band with probability
-0.992, and agreement is an estimate with a standard error of 0.035.
+:func:`one_of_each` also links documents whose sets of five-word shingles have a
+Jaccard similarity of ``SIMILAR`` or more.  Equal sets form one class first.
+Bands of minimum hashes only propose pairs (a pair at 0.8 shares one with
+probability 1 - 5e-8); the sets of a proposed pair are then compared exactly.
+First every class of a band is compared with one class of it, so that a large
+group of near copies comes together in few comparisons.  Then all pairs of a
+band that are still apart are compared, but for those whose sketches agree in
+fewer places than six standard errors below ``similar`` leave.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; rows with a null doc_id get a fingerprint and a null component; repeated
@@ -42,11 +44,11 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .session import checkpoint
+from .session import checkpoint, stored
 from .suffixes import sequence_sums
 
 SIZE, SEED, RADIUS, TILE = 4, 42, 4, 2048
-SHINGLE, SIMILAR, WIDE, BANDS, BAND_ROWS, SKETCH = 5, 0.8, 20, 12, 5, 128
+SHINGLE, SIMILAR, BANDS, BAND_ROWS, SKETCH, STARS = 5, 0.8, 32, 4, 128, 2
 WIDE_TILE = 4 * TILE  # rows with sketches are long, so a large bucket is sent to fewer units
 _U = np.uint64
 
@@ -151,19 +153,13 @@ def near(fps: np.ndarray, upto: np.ndarray, radius: int = RADIUS, most: int = 1
         at = to
 
 
-def _local_links(fps: np.ndarray, group: np.ndarray, radius: int, sketch: np.ndarray | None = None, agree: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes with their group's smallest reachable lane; ``group`` marks runs that are compared among themselves.
-
-    With sketches, lanes within the radius are linked only if ``agree`` of their values are equal.
-    """
+def _local_links(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes with their group's smallest reachable lane; ``group`` marks runs that are compared among themselves."""
     n = len(fps)
     cut = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
     upto = cut[np.searchsorted(cut, np.arange(n), "right")]
     label = np.arange(n)
     for a, b in near(fps, upto, radius):
-        if sketch is not None:
-            fit = np.concatenate([(sketch[a[i : i + 65536]] == sketch[b[i : i + 65536]]).sum(1) >= agree for i in range(0, len(a), 65536)])
-            a, b = a[fit], b[fit]
         while True:
             la, lb = label[a], label[b]
             apart = la != lb
@@ -196,61 +192,63 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     return _compared(keyed, radius, tile)
 
 
-def _compared(keyed: DataFrame, radius: int, tile: int, sketches: DataFrame | None = None, agree: int = 0) -> DataFrame:
-    """Links among rows (fp, rep, part, key) of each (part, key), that agree in the sketches (rep, sketch) if given.
-
-    Sketches are joined only to rows that share a bucket; most rows share none.
-    """
-    more = ["sketch"] if agree else []
-    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["part", "key"])
+def _units(keyed: DataFrame, tile: int) -> DataFrame:
+    """Rows (part, key, n, rep) of buckets of n rows with the tile pairs u, v in which a row is compared."""
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    tiled = shared.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    if agree:
-        tiled = tiled.join(sketches, "rep")
+    tiled = keyed.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     units = F.when(F.col("tiles") == 1, F.array(F.struct(F.lit(0).alias("u"), F.lit(0).alias("v")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda i: i != F.col("own")), lambda i: F.struct(F.least(i, F.col("own")).alias("u"), F.greatest(i, F.col("own")).alias("v")))
     )
-    rows = tiled.select("fp", "rep", "part", "key", *more, F.explode(units).alias("t")).select("fp", "rep", "part", "key", "t.u", "t.v", *more)
+    return tiled.withColumn("t", F.explode(units)).select(*keyed.columns, "t.u", "t.v")
+
+
+def _runs(batches, width: int, unit: slice):
+    """Columns of whole units, from batches in which the rows of a unit follow each other."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [A.utf8(c)[0].reshape(-1, SKETCH) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[:width]]
+        if held:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        last = np.logical_and.reduce([c == c[-1] for c in cols[unit]])
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield [c[:cut].copy() for c in cols]
+        held = [c[cut:].copy() for c in cols]
+    if held and len(held[0]):
+        yield held
+
+
+def _changes(cols: list[np.ndarray]) -> np.ndarray:
+    """Which rows begin a unit."""
+    first = np.ones(len(cols[0]), bool)
+    first[1:] = ~np.logical_and.reduce([c[1:] == c[:-1] for c in cols])
+    return first
+
+
+def _compared(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Links among rows (fp, rep, part, key) of each (part, key)."""
+    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     unit = ["part", "key", "u", "v"]
+    rows = _units(keyed.join(sizes, ["part", "key"]), tile).select("fp", "rep", *unit)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
-        held: list[np.ndarray] = []
-
-        def done(cols):
-            same = np.ones(len(cols[0]), bool)
-            same[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[2:6]])
-            at, to = _local_links(cols[0].view(_U), np.cumsum(~same), radius, cols[6] if agree else None, agree)
-            return A.batch(schema, cols[1][at], cols[1][to])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            if agree:
-                data, _ = A.utf8(b.column(6))
-                cols.append(data.reshape(-1, SKETCH))
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = np.logical_and.reduce([c == c[-1] for c in cols[2:6]])
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if cut:
-                yield done([c[:cut].copy() for c in cols])
-            held = [c[cut:].copy() for c in cols]
-        if held and len(held[0]):
-            yield done(held)
-
-    return rows.repartition(*unit).sortWithinPartitions(*unit, "rep").select("fp", "rep", *unit, *more).mapInArrow(compare, "a long, b long").distinct()
+        for cols in _runs(batches, 6, slice(2, 6)):
+            at, to = _local_links(cols[0].view(_U), np.cumsum(_changes(cols[2:6])), radius)
+            yield A.batch(schema, cols[1][at], cols[1][to])
+
+    return rows.repartition(*unit).sortWithinPartitions(*unit, "rep").mapInArrow(compare, "a long, b long").distinct()
 
 
 _FACTORS = np.random.default_rng(128).integers(1, 1 << 62, SKETCH, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 
 
-def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum hashes (rows x SKETCH) of the sets of SHINGLE-word shingles; the second array tells which rows have words.
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the SHINGLE-word shingles of each row, ascending, and row offsets.
 
-    A text with fewer words is one shingle.
+    A text with fewer words is one shingle; one without words has none.
     """
     data, off = A.utf8(column)
     starts, ends, tok = A.word_bounds(data, off)
@@ -263,38 +261,144 @@ def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(n)), many)
     at = tok[row] + np.arange(int(many.sum())) - first[row]
     shingles = A.mix((total[at + size[row]] - total[at]) * down[at])
-    some = n > 0
-    out = np.zeros((len(n), SKETCH), _U)
+    order = np.lexsort((shingles, row))
+    shingles, row = shingles[order], row[order]
+    new = _changes([row, shingles]) if len(row) else np.zeros(0, bool)
+    return shingles[new], np.append(0, np.cumsum(np.bincount(row[new], minlength=len(n))))
+
+
+def _names(shingles: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each row's set; rows without shingles have none."""
+    some = np.diff(off) > 0
+    out = np.zeros(len(some), _U)
+    if len(shingles):
+        out[some] = A.mix(np.add.reduceat(A.mix(shingles ^ _FACTORS[0]), off[:-1][some]) + np.diff(off)[some].astype(_U))
+    return out.view(np.int64)
+
+
+def _sketches(shingles: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Minimum hashes (rows x SKETCH) of sets that are not empty."""
+    out = np.zeros((len(off) - 1, SKETCH), _U)
     for k, f in enumerate(_FACTORS):
         if len(shingles):
-            out[some, k] = np.minimum.reduceat(shingles * f, first[some])
-    return out, some
+            out[:, k] = np.minimum.reduceat(shingles * f, off[:-1])
+    return out
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similar: float, most: int = 2048) -> DataFrame:
+    """The pairs (a, b) of set names whose sets have at least ``similar`` of their union in common.
+
+    The texts (rep, text) of pairs meet at b, those of a frequent b in units of about ``most``.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).alias("salts"))
+    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    needs = dealt.select(F.col("a").alias("rep"), F.col("b").alias("unit"), "salt").unionByName(dealt.select(F.col("b").alias("rep"), F.col("b").alias("unit"), "salt").distinct())
+    rows = needs.join(texts, "rep").repartition("unit", "salt").sortWithinPartitions("unit", "salt", F.col("rep") != F.col("unit")).select("rep", "unit", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def check(batches):
+        name, centre = None, np.empty(0, _U)
+        for batch in A.pieces(batches):
+            values, off = _sets(batch["text"])
+            found = []
+            for i, (rep, unit) in enumerate(zip(batch["rep"].to_pylist(), batch["unit"].to_pylist(), strict=True)):
+                own = values[off[i] : off[i + 1]]
+                if rep == unit:
+                    name, centre = unit, own.copy()
+                    continue
+                if name != unit:
+                    raise RuntimeError(f"set {unit} has no text")
+                at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                common = int((centre[at] == own).sum())
+                if common >= similar * (len(own) + len(centre) - common) - 1e-9:
+                    found.append((rep, unit))
+            yield A.batch(schema, [x for x, _ in found], [x for _, x in found])
+
+    return rows.mapInArrow(check, "a long, b long").distinct()
+
+
+def _proposed(shared: DataFrame, sketches: DataFrame, similar: float, tile: int) -> DataFrame:
+    """Pairs (a, b) of rows (rep, key, size, root) of a bucket that have different roots, and sketches and sizes that do not rule them out."""
+    apart = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    unit = ["part", "key", "u", "v"]
+    rows = _units(shared.join(apart, "key").withColumn("part", F.lit(0)), tile).join(sketches, "rep").select("rep", *unit, "root", "size", "sketch")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    agree = int(SKETCH * similar - 6 * np.sqrt(SKETCH * similar * (1 - similar)))
+
+    def propose(batches):
+        for cols in _runs(batches, 8, slice(1, 5)):
+            cuts = np.append(np.flatnonzero(_changes(cols[1:5])), len(cols[0]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rep, root, size, sketch = (c[lo:hi] for c in (cols[0], cols[5], cols[6], cols[7]))
+                roots, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+                if len(roots) < 2:
+                    continue
+                # Rows of the largest group are not compared among themselves.
+                main = of == counts.argmax()
+                for i in np.flatnonzero(~main).tolist():
+                    fit = (main | (np.arange(hi - lo) > i)) & (root != root[i])
+                    fit &= np.minimum(size, size[i]) >= similar * np.maximum(size, size[i]) - 1e-9
+                    j = np.flatnonzero(fit)
+                    j = j[(sketch[j] == sketch[i]).sum(1) >= agree]
+                    if len(j):
+                        yield A.batch(schema, np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i]))
+
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(propose, "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = WIDE_TILE) -> DataFrame:
-    """(a, b) over doc_id: enough links between documents of like shingle sets to connect all groups that share a band."""
-    fields = "doc_id long, fp long, sketch binary, bands array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """(a, b) over doc_id: enough links between documents whose shingle sets are alike to connect all groups."""
+    fields = "doc_id long, rep long, size long, sketch binary, bands array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    named = pa.schema([("rep", pa.int64()), ("text", pa.string())])
 
     def rows(batches):
         for b in A.pieces(batches):
-            low, some = _sketches(b["text"])
-            low = low[some]
-            keys = np.zeros((len(low), BANDS), _U)
+            shingles, off = _sets(b["text"])
+            some = np.diff(off) > 0
+            name, off = _names(shingles, off)[some], np.append(0, off[1:][some])
+            low = _sketches(shingles, off)
+            keys = np.tile(np.arange(BANDS, dtype=_U), (len(low), 1))
             for i in range(BAND_ROWS):
                 keys = A.mix(keys ^ low[:, i * BANDS : (i + 1) * BANDS])
             small = (A.mix(low) & _U(255)).astype(np.uint8)
-            kept = b.filter(pa.array(some))
-            yield A.batch(schema, kept["doc_id"], _column(kept["text"], SHINGLE).view(np.int64), [x.tobytes() for x in small], list(keys.view(np.int64)))
-
-    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, fields)
-    # Documents with the same sketch and fingerprint are one class; their links to its smallest id need no comparison.
-    made = checkpoint(made)
-    classes = made.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = checkpoint(classes)
-    keyed = classes.select("fp", "rep", F.posexplode("bands").alias("part", "key"))
-    own = made.select("doc_id", "fp", "sketch").join(classes.select("fp", "sketch", "rep"), ["fp", "sketch"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return _compared(keyed, WIDE, tile, classes.select("rep", "sketch"), int(np.ceil((similar - 0.01) * SKETCH))).unionByName(own)
+            yield A.batch(schema, b["doc_id"].filter(pa.array(some)), name, np.diff(off), [x.tobytes() for x in small], list(keys.view(np.int64)))
+
+    def name_of(batches):
+        for b in A.pieces(batches):
+            yield A.batch(named, pa.array(_names(*_sets(b["text"])), pa.int64()), b["text"].cast(pa.string()))
+
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    made = stored(docs.mapInArrow(rows, fields))
+    # Documents with the same set are one class; their links to its smallest id need no comparison.
+    classes = stored(made.groupBy("rep").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    keyed = classes.select("rep", "size", F.explode("bands").alias("key"))
+    shared = stored(keyed.join(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    ids = shared.select("rep").distinct().join(classes.select("rep", F.col("least").alias("doc_id")), "rep").select("doc_id").distinct()
+    texts = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(name_of, "rep long, text string").dropDuplicates(["rep"]))
+
+    found = done = None
+    rooted = shared.withColumn("root", F.col("rep"))
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            pick = F.min_by(F.struct("rep", "root", "size"), F.xxhash64("rep", F.lit(turn)))
+            centres = rooted.groupBy("key").agg(pick.alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "c")
+            fits = F.least("size", "c.size") >= similar * F.greatest("size", "c.size") - 1e-9
+            pairs = rooted.join(centres, "key").where(F.col("root") != F.col("c.root")).where(fits).select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct()
+        else:
+            pairs = _proposed(rooted, classes.select("rep", "sketch"), similar, tile)
+        if done is not None:
+            pairs = pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        alike = stored(_alike(pairs, texts, similar))
+        done, found = (pairs, alike) if done is None else (done.unionByName(pairs), found.unionByName(alike))
+        if turn < STARS:
+            roots = stored(components(found).withColumnRenamed("node", "rep"))
+            rooted = shared.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    of = classes.select("rep", "least")
+    between = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    own = made.select("doc_id", "rep").join(of, "rep").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    return between.unionByName(own)
 
 
 def cluster(docs: DataFrame, size: int = SIZE, radius: int = RADIUS) -> DataFrame:
