@@ -92,6 +92,21 @@ def test_packing_is_whole_and_fits(docs_of):
     assert packing.plan(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "w " * 4096 * 300), (2, "w")], [(None, "a b c")] * 300])
+def test_packing_spreads_long_documents_and_equal_rows(docs_of, rows):
+    got = packing.plan(docs_of(rows), shard_rows=10).collect()
+    held = {}
+    for r in got:
+        shard = r.bin_id.split("-")[0]
+        held[shard] = held.get(shard, 0) + 1
+    assert sum(r.length for r in got) == sum(len(t.split()) + 1 for _, t in rows)
+    assert len(held) > 20 and max(held.values()) < 40
+
+
+def test_filling_in_thought_uses_all_lengths():
+    assert packing._Lengths(list(range(1, 91))).fill(4095) == 4095
+
+
 def test_best_fit_opens_the_cheapest_bin():
     bins, _, sizes = packing.pack([600, 500, 400, 300, 100], (512, 1024, 2048), 32)
     assert sizes == [1024, 1024] and bins == [0, 1, 0, 1, 1]

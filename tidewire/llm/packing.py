@@ -5,7 +5,8 @@ texts are kept (length 1); another length column can be given.  A document
 longer than the largest capacity gives full pieces of that capacity and one
 remainder.
 
-Documents are dealt by hash into shards of about ``shard_rows`` rows; only ids
+Pieces are dealt by hash of their row and place into shards of about
+``shard_rows`` pieces, so long documents and rows with equal ids spread; only ids
 and lengths move.  Within a shard, pieces are taken by decreasing length.  A
 piece goes to the open bin with the least room that still takes it (best fit).
 If none does, a bin is opened, and all permitted capacities that take the piece
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import stored
+
 CAPACITIES, OVERHEAD, SHARD_ROWS = (512, 1024, 2048, 4096), 32, 20_000
 
 
@@ -50,10 +53,10 @@ class _Lengths:
             del self.count[n]
             self.sizes.pop(bisect_left(self.sizes, n))
 
-    def fill(self, room: int, most: int = 64) -> int:
+    def fill(self, room: int) -> int:
         """Tokens that the longest unplaced pieces fill of ``room``."""
         placed, at = 0, len(self.sizes)
-        for _ in range(most):
+        while placed < room:
             at = bisect_left(self.sizes, room - placed + 1, 0, at) - 1
             if at < 0:
                 break
@@ -99,10 +102,12 @@ def plan(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
     length = words(F.col("text")) + 1 if length is None else length
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n"))
-    shards = max(1, -(-sized.count() // shard_rows)) if shard_rows else 1
-    pieces = sized.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("n", F.lit(1)) - 1) / top)), lambda i: F.struct(i.alias("piece"), (i * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("n") - i * top).alias("length")))).alias("p")).select("doc_id", "p.*")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    # Row numbers are written down, so that a task run again deals its rows alike.
+    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n"), F.monotonically_increasing_id().alias("row")))
+    last = F.floor((F.greatest("n", F.lit(1)) - 1) / top)
+    shards = max(1, -(-(sized.agg(F.sum(last + 1)).first()[0] or 0) // shard_rows)) if shard_rows else 1
+    pieces = sized.select("doc_id", "row", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.struct(i.alias("piece"), (i * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("n") - i * top).alias("length")))).alias("p")).select("doc_id", "row", "p.*")
+    dealt = pieces.select("doc_id", "piece", "start", "length", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
