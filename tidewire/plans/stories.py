@@ -298,7 +298,7 @@ def stm_09_claim_before_send(t) -> DataFrame:
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 3 END AS width FROM documents")
 def stm_10_backfill(t) -> DataFrame:
     """A stand-in provider that fails on some texts."""
-    items = t.read("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 == 0, "?").otherwise(F.substring("text", 1, 40)).alias("text"))
+    items = t.read("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 11 == 0, "?").otherwise(F.col("text")).alias("text"))
 
     def provider(texts):
         if "?" in texts:
@@ -327,8 +327,8 @@ def membership(t) -> DataFrame:
 @query("SELECT ord, CASE WHEN NOT known THEN 'unresolved' WHEN contested THEN 'contested' WHEN again > 1 THEN 'duplicated' ELSE 'usable' END AS state FROM (SELECT ord, k % 10 < 8 AND user_id % 10 < 9 AS known, count(DISTINCT topic = 'view') OVER (PARTITION BY least(k, user_id), greatest(k, user_id)) > 1 AS contested, row_number() OVER (PARTITION BY least(k, user_id), greatest(k, user_id) ORDER BY ord) AS again FROM (SELECT event_id AS ord, k, user_id, topic FROM ev WHERE event_id < 3000))")
 def evl_01_resolve_pairs(t) -> DataFrame:
     p = t.ev.where("event_id < 3000").select(F.col("event_id").alias("ord"), F.when(F.col("k") % 10 < 8, F.col("k")).otherwise(-1).alias("lk_"), F.col("k").alias("left"), F.col("user_id").alias("right"), (F.col("topic") == "view").alias("same_event"))
-    n = t.spark.range(0, 1000).select(F.col("id").alias("key"))
-    left_known, right_known = n.where("key % 10 < 8"), n.where("key % 10 < 9")
+    left_known = t.ev.select(F.col("k").alias("key")).where("key % 10 < 8").distinct()
+    right_known = t.ev.select(F.col("user_id").alias("key")).where("key % 10 < 9").distinct()
     known = p.join(left_known.select(F.col("key").alias("left"), F.lit(True).alias("a")), "left", "left").join(right_known.select(F.col("key").alias("right"), F.lit(True).alias("b")), "right", "left")
     w = Window.partitionBy(F.least("left", "right"), F.greatest("left", "right"))
     state = F.when(F.col("a").isNull() | F.col("b").isNull(), "unresolved").when(F.col("both") > 1, "contested").when(F.col("again") > 1, "duplicated").otherwise("usable")
