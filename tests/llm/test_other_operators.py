@@ -62,6 +62,29 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_and_quoted_targets(spark):
+    base = "http://h.example.info/a/b/page.html?q=1#top"
+    want = {
+        "other.html": "http://h.example.info/a/b/other.html",
+        "?p=2": "http://h.example.info/a/b/page.html?p=2",
+        "../x": "http://h.example.info/a/x",
+        "../../../x/./y?u=http://z/../w": "http://h.example.info/x/y?u=http://z/../w",
+        "..": "http://h.example.info/a/",
+        "/r/../s": "http://h.example.info/s",
+        "//o.example/x": "http://o.example/x",
+        "https://o.example/x": "https://o.example/x",
+        "mailto:a": None,
+    }
+    rows = [(i, base, f'<link rel="canonical" href="{t}">') for i, t in enumerate(want)]
+    for (i, url, html), goal in zip(rows, want.values(), strict=True):
+        got = {r.b for r in urls.alias_edges(spark.createDataFrame([(i, url, html)], "page_id long, url string, html string")).collect()}
+        assert got == {goal, "http://h.example.info/a/b/page.html?q=1"} - {None}
+    bare = [(1, "http://h.example.info", "<link rel=canonical href=x.html>"), (2, "http://k.example.info", """<meta http-equiv="refresh" content="0; url='http://b.example.com/en/1'">""")]
+    df = spark.createDataFrame(bare, "page_id long, url string, html string")
+    assert {r.b for r in urls.alias_edges(df).collect()} == {"http://h.example.info/x.html", "http://b.example.com/en/1"}
+    assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "allow", 2: "block"}
+
+
 def test_rules_that_are_not_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     want = sorted(map(str, urls.judge(pages).collect()))

@@ -69,12 +69,30 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, "url", "left").select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
 
 
+def _flat(path: Column) -> Column:
+    """A path that begins with a slash, without its segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    step = lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def _absolute(target: Column, base: Column) -> Column:
-    """Targets with a scheme, or below the host of ``base``."""
+    """``target`` as seen from the page ``base``; null for schemes without ``//``."""
     target = F.trim(F.regexp_replace(target, "&amp;", "&"))
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
-    return F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(root, target))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path(base), r"(?s)^/(.*/)", 1))
+    below = F.concat(root, _flat(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), rest)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("?"), F.concat(root, path(base), target))
+        .when(target.startswith("#"), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), target))
+        .otherwise(below)
+    )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -83,7 +101,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     value = r"""(?is)\b%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     of = lambda tag, name: F.concat(*[F.regexp_extract(tag, value % name, i) for i in (1, 2, 3)])
-    refresh = lambda t: F.regexp_extract(of(t, "content"), r"(?is)url\s*=\s*(\S+)", 1)
+    goal = r"""(?is)url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"']\S*))"""
+    refresh = lambda t: F.concat(*[F.regexp_extract(of(t, "content"), goal, i) for i in (1, 2, 3)])
     target = lambda t: (
         F.when(F.lower(of(t, "rel")) == "canonical", of(t, "href")).when(F.lower(of(t, "http-equiv")) == "refresh", refresh(t)).when(F.lower(of(t, "property")) == "og:url", of(t, "content"))
     )
