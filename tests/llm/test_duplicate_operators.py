@@ -89,13 +89,68 @@ def test_suffix_arrays_and_common_prefixes():
         assert lcp.tolist() == want
 
 
-def test_parse_finds_windows_over_factor_boundaries():
-    match = np.array([3, 5, 4, 3, 2, 1, 0])
-    assert rlz_dedup.parse(match, np.array([0, 7]), 4).tolist() == [False, True, True, False, False, False, False]
+def block_of(texts):
+    words = sorted({w for t in texts for w in t})
+    tokens = np.array([words.index(w) for t in texts for w in t], np.int64)
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    return rlz_dedup.Block(tokens, off, np.repeat(np.arange(len(texts)), np.diff(off))), off
+
+
+def test_greedy_factors_are_longest_matches_in_smaller_documents():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 25))) for _ in range(30)]
+    block, off = block_of(texts)
+    start, size = rlz_dedup.factors(block, off)
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            k = max((k for k in range(len(t) - at + 1) if any(t[at : at + k] in u for u in texts[:i])), default=0)
+            want.append((int(off[i]) + at, max(k, 1)))
+            at += max(k, 1)
+    assert list(zip(start.tolist(), size.tolist(), strict=True)) == want
+    found = rlz_dedup.parse(block, off, 5)
+    for i, t in enumerate(texts):
+        for at in range(len(t)):
+            window = t[at : at + 5]
+            assert found[off[i] + at] == (len(window) == 5 and any(window in u for u in texts[:i]))
+
+
+def test_places_inside_a_factor_are_not_looked_up():
+    text = [f"w{i}" for i in range(200)]
+    block, off = block_of([text, text])
+    found = rlz_dedup.parse(block, off, 13)
+    assert found.sum() == 188 and found[200:388].all()
+    # 200 literals of the first document and the one factor of the second begin a search each, and no window is looked up in the second.
+    literal_windows = 0
+    assert block.lookups == 201 + literal_windows
+
+
+def test_arrays_of_shards_merge_by_binary_search():
+    rng = np.random.default_rng(5)
+    for other in (False, True):
+        kind = repeats.Kind(words=True, window=3, gram=2, other_document=other)
+        arrays = []
+        for _ in range(4):
+            a = np.zeros(40, repeats._OPEN)
+            a["digest"], a["doc"], a["lo"] = rng.integers(0, 30, 40), rng.integers(0, 6, 40), rng.permutation(40)
+            a.sort(order=["digest", "doc", "lo"])
+            arrays.append(a)
+        rows = [tuple(int(x) for x in r)[:3] for a in arrays for r in a]
+        later = lambda r: any(q[0] == r[0] and (q[1] < r[1] or not other and q[1:] < r[1:]) for q in rows)
+        assert sorted(tuple(int(x) for x in r)[:3] for r in repeats.merged(arrays, kind)) == sorted(r for r in rows if later(r))
+
+
+def test_rows_that_share_an_id_and_differ_in_text(docs_of):
+    long, other = "lorem ipsum dolor sit amet " * 30, " ".join(f"word{i}" for i in range(300))
+    rows = [(1, other), (2, long), (2, "short"), (2, other), (2, other)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in rlz_dedup.remove(docs_of(rows)).collect())
+    assert got == [(1, 300, 0), (2, 1, 0), (2, 150, 0), (2, 300, 300), (2, 300, 300)]
+    assert sorted(r.n_bytes for r in suffix_dedup.remove(docs_of(rows)).collect()) == sorted(len(t) for _, t in rows)
 
 
 def test_joined_ranges():
-    d, lo, n = repeats._joined(np.array([2, 1, 1, 1]), np.array([0, 5, 0, 2]), np.array([3, 1, 3, 2]))
+    d, _, lo, n = repeats._joined(np.array([2, 1, 1, 1]), np.zeros(4, np.int32), np.array([0, 5, 0, 2]), np.array([3, 1, 3, 2]))
     assert list(zip(d.tolist(), lo.tolist(), n.tolist(), strict=True)) == [(1, 0, 4), (1, 5, 1), (2, 0, 3)]
 
 

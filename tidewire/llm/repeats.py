@@ -11,15 +11,19 @@ tokens, in what counts as earlier, and in how they decide what stays open here.
    context needs no look: its windows are unique.  The rest is *contested*.
 3. Contested contexts are cut from the texts and meet in shards by anchor; a
    shard decides every window among its contexts by an index over them.  An
-   anchor with more than ``SHARD`` contested contexts is dealt over several
-   shards, whose first windows are merged by digest.
+   anchor with more than ``shard`` contested contexts is dealt over several
+   shards.  Each of these keeps its undecided windows as sorted arrays, cut into
+   as many ranges of digests as there are shards; the arrays of one range meet,
+   and each is searched in those before it by binary search.
 4. Decided windows go back to their documents by id.
 
 No step gathers a group: rows of one anchor are sorted and windowed by Spark
-with spilling, shards are streamed in bounded pieces, and what a document
-gathers is bounded by its own length.
+with spilling, shards and ranges are streamed in bounded pieces, and what a
+document gathers is bounded by its own length.
 
-Rows that repeat a doc_id must repeat the whole row: they are one occurrence.
+A document is a row's doc_id with a hash of its text: whole repeats of a row are
+one document and get the same result each; rows that share an id and differ in
+text are documents of equal id, so neither comes before the other but by place.
 Rows with a null doc_id take no part.
 """
 
@@ -69,23 +73,23 @@ def _tokens(column: pa.Array, kind: Kind):
     return word_off, grams, lambda a, b: A.mix((total[b] - total[a]) * down[a])
 
 
-ROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("reps", pa.int32()), ("done", pa.bool_())])
+ROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("h", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("reps", pa.int32()), ("done", pa.bool_())])
 
 
-def _joined(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(doc: np.ndarray, t: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Adjoining or overlapping ranges of windows of one document as one."""
-    order = np.lexsort((lo, doc))
-    doc, lo, end = doc[order], lo[order], (lo + n)[order]
+    order = np.lexsort((lo, t, doc))
+    doc, t, lo, end = doc[order], t[order], lo[order], (lo + n)[order]
     if not len(doc):
-        return doc, lo, end
-    first_row = np.append(True, doc[1:] != doc[:-1])
+        return doc, t, lo, end
+    first_row = np.append(True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))
     # Running maximum of ends within a document: documents are made to lie apart.
     base = np.cumsum(first_row) * (int(end.max()) + 2)
     reach = np.maximum.accumulate(end + base)
     new = first_row | np.append(True, (lo + base)[1:] > reach[:-1])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return doc[at], lo[at], (reach - base)[last] - lo[at]
+    return doc[at], t[at], lo[at], (reach - base)[last] - lo[at]
 
 
 def _anchor_rows(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch | None:
@@ -100,56 +104,56 @@ def _anchor_rows(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch | None:
         return None
     h = grams[x].view(np.int64)
     ctx = N.context_hash(ranges(lo, hi + kind.window), x, lo, hi).view(np.int64)
-    doc, size, at = np.asarray(ids)[row], hi - lo + 1, lo - off[row]
+    doc, t, size, at = np.asarray(ids)[row], np.asarray(b["t"])[row], hi - lo + 1, lo - off[row]
     # Runs of equal anchors that follow each other, as in periodic texts, are one row.
     new = np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (row[1:] != row[:-1]) | (lo[1:] != hi[:-1] + 1))
     first = np.flatnonzero(new)
     reps = np.diff(np.append(first, len(row)))
-    doc, h, ctx, at, size = doc[first], h[first], ctx[first], at[first], size[first]
+    doc, t, h, ctx, at, size = (v[first] for v in (doc, t, h, ctx, at, size))
     done = []
     if not kind.other_document:
         many = reps > 1
-        done.append((doc[many], (at + size)[many], (size * (reps - 1))[many]))
+        done.append((doc[many], t[many], (at + size)[many], (size * (reps - 1))[many]))
         reps = np.ones_like(reps)
     order = np.lexsort((at, doc, ctx, h))
-    doc, h, ctx, at, size, reps = (v[order] for v in (doc, h, ctx, at, size, reps))
+    doc, t, h, ctx, at, size, reps = (v[order] for v in (doc, t, h, ctx, at, size, reps))
     head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
     head = np.repeat(head, np.diff(np.append(head, len(doc))))
     later = doc > doc[head]
     if not kind.other_document:
         later |= (doc == doc[head]) & (at > at[head])
-    done.append((doc[later], at[later], (size * reps)[later]))
-    d, l, n = _joined(*(np.concatenate(v) for v in zip(*done, strict=True)))
+    done.append((doc[later], t[later], at[later], (size * reps)[later]))
+    d, dt, l, n = _joined(*(np.concatenate(v) for v in zip(*done, strict=True)))
     open_ = ~later
     k = int(open_.sum())
     key = A.mix(A.mix(d.view(np.uint64)) ^ l.view(np.uint64)).view(np.int64)
-    return A.batch(ROW, np.append(doc[open_], d), np.append(h[open_], key), np.append(ctx[open_], np.zeros(len(d), np.int64)), np.append(at[open_], l), np.append(size[open_], n).astype(np.int32), np.append(reps[open_], np.ones(len(d), np.int64)).astype(np.int32), np.append(np.zeros(k, bool), np.ones(len(d), bool)))
+    return A.batch(ROW, np.append(doc[open_], d), np.append(t[open_], dt), np.append(h[open_], key), np.append(ctx[open_], np.zeros(len(d), np.int64)), np.append(at[open_], l), np.append(size[open_], n).astype(np.int32), np.append(reps[open_], np.ones(len(d), np.int64)).astype(np.int32), np.append(np.zeros(k, bool), np.ones(len(d), bool)))
 
 
 def _meet(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Decided (removed) and contested rows of all anchors: doc_id, h, lo, size, reps, removed, n."""
+    """Decided (removed) and contested rows of all anchors: doc_id, t, h, lo, size, reps, removed, n."""
 
     def rows(batches):
         for b in A.pieces(batches):
             if (out := _anchor_rows(b, kind)) is not None:
                 yield out
 
-    found = docs.mapInArrow(rows, "doc_id long, h long, ctx long, lo long, size int, reps int, done boolean").repartition("h")
+    found = docs.mapInArrow(rows, "doc_id long, t int, h long, ctx long, lo long, size int, reps int, done boolean").repartition("h")
     same = Window.partitionBy("h", "ctx").orderBy("doc_id", "lo")
     anchor = Window.partitionBy("h")
     later = F.col("doc_id") > F.col("first.doc_id")
     if not kind.other_document:
         later = later | (F.col("lo") > F.col("first.lo")) & (F.col("doc_id") == F.col("first.doc_id"))
     judged = found.withColumn("first", F.first(F.struct("doc_id", "lo")).over(same)).withColumn("removed", F.col("done") | later)
-    met = judged.select("doc_id", "h", "ctx", "lo", "size", "reps", "removed", (F.min("ctx").over(anchor) != F.max("ctx").over(anchor)).alias("several"), F.count(F.when(~F.col("removed"), 1)).over(anchor).alias("n"))
-    return met.where("removed OR several").select("doc_id", "h", "lo", "size", "reps", "removed", F.when(F.col("removed"), 0).otherwise(F.col("n")).alias("n"))
+    met = judged.select("doc_id", "t", "h", "ctx", "lo", "size", "reps", "removed", (F.min("ctx").over(anchor) != F.max("ctx").over(anchor)).alias("several"), F.count(F.when(~F.col("removed"), 1)).over(anchor).alias("n"))
+    return met.where("removed OR several").select("doc_id", "t", "h", "lo", "size", "reps", "removed", F.when(F.col("removed"), 0).otherwise(F.col("n")).alias("n"))
 
 
-CONTEXT = pa.schema([("h", pa.int64()), ("unit", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("reps", pa.int32()), ("context", pa.binary())])
+CONTEXT = pa.schema([("h", pa.int64()), ("unit", pa.int32()), ("units", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int32()), ("lo", pa.int64()), ("size", pa.int32()), ("reps", pa.int32()), ("context", pa.binary())])
 
 
 def _contexts(texts: DataFrame, kind: Kind, shard: int) -> DataFrame:
-    """The bytes of each contested context; ``texts`` has doc_id, text and the list ``open``."""
+    """The bytes of each contested context; ``texts`` has doc_id, t, text and the list ``open``."""
 
     def rows(batches):
         for b in A.pieces(batches):
@@ -163,32 +167,42 @@ def _contexts(texts: DataFrame, kind: Kind, shard: int) -> DataFrame:
                 continue
             row = np.repeat(np.arange(b.num_rows), many)
             h, lo, size, reps, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("h", "lo", "size", "reps", "n"))
-            doc = b["doc_id"].take(pa.array(row)).to_numpy(zero_copy_only=False)
+            doc, t = (b[c].take(pa.array(row)).to_numpy(zero_copy_only=False) for c in ("doc_id", "t"))
             if kind.words:
                 a, z = starts[tok[row] + lo], ends[tok[row] + lo + size + kind.window - 2]
             else:
                 a = off[row] + lo
                 z = a + size + kind.window - 1
-            shards = -(-n // shard)
-            unit = np.where(shards > 1, 1 + (A.mix(doc.view(np.uint64) ^ (lo.view(np.uint64) << np.uint64(40))) % np.maximum(shards, 1).astype(np.uint64)).astype(np.int64), 0)
-            yield A.batch(CONTEXT, h, unit.astype(np.int32), doc, lo, size, reps, [raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)])
+            units = -(-n // shard)
+            unit = np.where(units > 1, (A.mix(doc.view(np.uint64) ^ (lo.view(np.uint64) << np.uint64(40))) % np.maximum(units, 1).astype(np.uint64)).astype(np.int64), 0)
+            yield A.batch(CONTEXT, h, unit.astype(np.int32), units.astype(np.int32), doc, t, lo, size, reps, [raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)])
 
-    return texts.mapInArrow(rows, "h long, unit int, doc_id long, lo long, size int, reps int, context binary")
+    return texts.mapInArrow(rows, "h long, unit int, units int, doc_id long, t int, lo long, size int, reps int, context binary")
 
 
-RANGE = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
+#: Runs of n removed windows; or, of a dealt anchor h, one shard's sorted undecided windows in one range (``part``) of digests.
+RANGE = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("lo", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("open", pa.binary())])
+_FIELDS = "doc_id long, t int, lo long, n long, h long, part int, open binary"
+_OPEN = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("t", "<i4")])
 
 
-def _ranges(removed: np.ndarray, context: np.ndarray, offset: np.ndarray, doc: np.ndarray, lo: np.ndarray, size: np.ndarray, reps: np.ndarray):
-    """Removed windows (context, offset) as ranges of their documents, with the repeats of their rows."""
-    c, o = context[removed], offset[removed]
+def _gone(doc: np.ndarray, t: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
+    """Removed windows as runs."""
+    d, t, l, n = _joined(doc, t, lo, np.ones(len(doc), np.int64))
+    return A.batch(RANGE, d, t, l, n, *(pa.nulls(len(d), x) for x in (pa.int64(), pa.int32(), pa.binary())))
+
+
+def _of_rows(wanted: np.ndarray, context: np.ndarray, offset: np.ndarray, size: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place in the context's run of repeats, window) of the wanted windows, with the repeats of their rows."""
+    c, o, w = context[wanted], offset[wanted], np.flatnonzero(wanted)
     times = reps[c]
-    c, o, at = np.repeat(c, times), np.repeat(o, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    return _joined(doc[c], lo[c] + at * size[c] + o, np.ones(len(c), np.int64))
+    at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    c, o, w = (np.repeat(v, times) for v in (c, o, w))
+    return c, at * size[c] + o, w
 
 
 def _decide(contexts: DataFrame, kind: Kind, decide: Callable) -> DataFrame:
-    """Windows decided in each shard, and the undecided windows of anchors that have several shards with their digests."""
+    """What each shard decides, and what the shards of a dealt anchor leave open."""
 
     def work(t: pa.Table):
         t = t.combine_chunks()
@@ -197,19 +211,23 @@ def _decide(contexts: DataFrame, kind: Kind, decide: Callable) -> DataFrame:
         boff = np.frombuffer(raw.buffers()[1], np.int32, n + 1, raw.offset * 4).astype(np.int64)
         data = np.frombuffer(raw.buffers()[2], np.uint8)[boff[0] : boff[-1]]
         boff = boff - boff[0]
-        doc, lo, size, reps, unit = (t[c].to_numpy() for c in ("doc_id", "lo", "size", "reps", "unit"))
+        doc, text, lo, size, reps, units, h, unit = (t[c].to_numpy() for c in ("doc_id", "t", "lo", "size", "reps", "units", "h", "unit"))
+        size, reps = size.astype(np.int64), reps.astype(np.int64)
         removed, digest = decide(data, boff, doc, lo, size)  # by window, in order of contexts and offsets
         context = np.repeat(np.arange(n), size)
-        offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
-        d, l, k = _ranges(removed, context, offset, doc, lo.astype(np.int64), size.astype(np.int64), reps.astype(np.int64))
-        yield A.batch(RANGE, d, l, k, pa.nulls(len(d), pa.int64()))
-        wait = ~removed & (unit[context] > 0)
-        if wait.any():
-            c, o = context[wait], offset[wait]
-            times = reps[c]
-            at = np.arange(times.sum()) - np.repeat(np.cumsum(times, dtype=np.int64) - times, times)
-            c, o, g = np.repeat(c, times), np.repeat(o, times), np.repeat(digest[wait], times)
-            yield A.batch(RANGE, doc[c], lo[c] + at * size[c] + o, np.ones(len(c), np.int64), g.view(np.int64))
+        offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        c, place, _ = _of_rows(removed, context, offset, size, reps)
+        yield _gone(doc[c], text[c], lo[c] + place)
+        for first in np.flatnonzero((units > 1) & np.append(True, (h[1:] != h[:-1]) | (unit[1:] != unit[:-1]))).tolist():
+            mine = (h[context] == h[first]) & (unit[context] == unit[first]) & ~removed
+            c, place, w = _of_rows(mine, context, offset, size, reps)
+            out = np.zeros(len(c), _OPEN)
+            out["digest"], out["doc"], out["t"], out["lo"] = digest[w], doc[c], text[c], lo[c] + place
+            out.sort(order=["digest", "doc", "lo"])
+            cuts = np.append(np.searchsorted(out["digest"], np.arange(units[first], dtype=np.uint64) * np.uint64((1 << 64) // int(units[first]))), len(out))
+            for part, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if z > a:
+                    yield A.batch(RANGE, *(pa.nulls(1, x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), [h[first]], [part], [out[a:z].tobytes()])
 
     def rows(batches):
         held: list[pa.RecordBatch] = []
@@ -217,7 +235,7 @@ def _decide(contexts: DataFrame, kind: Kind, decide: Callable) -> DataFrame:
         for b in batches:
             for p in A.pieces([b], "context", PIECE // 4) if b.num_rows else []:
                 held.append(p)
-                have += p.column(p.schema.get_field_index("context")).nbytes
+                have += p["context"].nbytes
                 if have < PIECE:
                     continue
                 t = pa.Table.from_batches(held)
@@ -227,49 +245,64 @@ def _decide(contexts: DataFrame, kind: Kind, decide: Callable) -> DataFrame:
                 if cut:
                     yield from work(t.slice(0, cut))
                     held = t.slice(cut).combine_chunks().to_batches()
-                    have = sum(x.column(6).nbytes for x in held)
+                    have = sum(x["context"].nbytes for x in held)
         if held:
             yield from work(pa.Table.from_batches(held))
 
     key = ["h", "unit"]
-    return contexts.repartition(*key).sortWithinPartitions(*key).mapInArrow(rows, "doc_id long, lo long, n long, digest long")
+    return contexts.repartition(*key).sortWithinPartitions(*key).mapInArrow(rows, _FIELDS)
+
+
+def merged(arrays: list[np.ndarray], kind: Kind) -> np.ndarray:
+    """The windows of sorted arrays that occur earlier in another; arrays are searched in each other by binary search."""
+
+    def later(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a["doc"] > b["doc"]) if kind.other_document else (a["doc"] > b["doc"]) | (a["doc"] == b["doc"]) & (a["lo"] > b["lo"])
 
+    heads = np.zeros(0, _OPEN)  # the earliest window of each digest in the arrays so far
+    for a in arrays:
+        own = a[np.append(True, a["digest"][1:] != a["digest"][:-1])]
+        at = np.searchsorted(heads["digest"], own["digest"])
+        known = np.zeros(len(own), bool)
+        known[at < len(heads)] = heads["digest"][at[at < len(heads)]] == own["digest"][at < len(heads)]
+        spot = at[known]
+        heads[spot] = np.where(later(heads[spot], own[known]), own[known], heads[spot])
+        heads = np.insert(heads, at[~known], own[~known])
+    return np.concatenate([a[later(a, heads[np.searchsorted(heads["digest"], a["digest"])])] for a in arrays])
 
-def _merge(decided: DataFrame, kind: Kind) -> DataFrame:
-    """Cross-shard merge: rows meet by digest, and each finds by binary search the head of its run."""
-    dealt = decided.withColumn("key", F.coalesce("digest", F.xxhash64("doc_id", "lo")))
+
+def _merge(open_: DataFrame, kind: Kind) -> DataFrame:
+    """Cross-shard merge of the sorted arrays of each range of digests."""
 
     def rows(batches):
-        head = None  # digest, doc_id and lo of the run that the last batch ended in
+        held, name = [], None
         for b in batches:
-            if not b.num_rows:
-                continue
-            doc, lo, n = (b[c].to_numpy() for c in ("doc_id", "lo", "n"))
-            open_ = b["digest"].is_valid().to_numpy(zero_copy_only=False)
-            key = b["key"].to_numpy()
-            keys, first = np.unique(key, return_index=True)
-            at = first[np.searchsorted(keys, key)]
-            d, l = doc[at], lo[at]
-            if head is not None:
-                run = key == head[0]
-                d, l = np.where(run, head[1], d), np.where(run, head[2], l)
-            head = key[-1], d[-1], l[-1]
-            later = (doc > d) if kind.other_document else (doc > d) | (doc == d) & (lo > l)
-            yield A.batch(RANGE, doc[~open_ | later], lo[~open_ | later], n[~open_ | later], pa.nulls(int((~open_ | later).sum()), pa.int64()))
-
-    return dealt.repartition("key").sortWithinPartitions("key", "doc_id", "lo").select("doc_id", "lo", "n", "digest", "key").mapInArrow(rows, "doc_id long, lo long, n long, digest long")
+            for h, part, raw in zip(b["h"].to_pylist(), b["part"].to_pylist(), b["open"], strict=True):
+                if (h, part) != name and held:
+                    gone = merged(held, kind)
+                    held = []
+                    yield _gone(gone["doc"], gone["t"], gone["lo"])
+                name = (h, part)
+                held.append(np.frombuffer(raw.as_buffer(), _OPEN))
+        if held:
+            gone = merged(held, kind)
+            yield _gone(gone["doc"], gone["t"], gone["lo"])
+
+    return open_.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(rows, _FIELDS)
 
 
 def removed(docs: DataFrame, kind: Kind, decide: Callable, shard: int = SHARD) -> DataFrame:
     """``docs`` (doc_id, text) with the list ``gone`` of (lo, n): runs of n windows from lo that occur earlier."""
+    docs = docs.select("doc_id", F.hash("text").alias("t"), "text")
     met = stored(_meet(docs, kind))
-    waiting = met.where("NOT removed").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "size", "reps", "n")).alias("open"))
-    decided = _decide(_contexts(docs.join(waiting, "doc_id", "left"), kind, shard), kind, decide)
+    waiting = met.where("NOT removed").groupBy("doc_id", "t").agg(F.collect_set(F.struct("h", "lo", "size", "reps", "n")).alias("open"))
+    decided = _decide(_contexts(docs.join(waiting, ["doc_id", "t"]), kind, shard), kind, decide)
     if (met.agg(F.max("n")).first()[0] or 0) > shard:
-        decided = _merge(decided, kind)
-    gone = met.where("removed").select("doc_id", "lo", (F.col("size").cast("long") * F.col("reps")).alias("n")).unionByName(decided.select("doc_id", "lo", "n"))
-    lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
-    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "gone")
+        decided = stored(decided)
+        decided = decided.where("open IS NULL").unionByName(_merge(decided.where("open IS NOT NULL"), kind))
+    gone = met.where("removed").select("doc_id", "t", "lo", (F.col("size").cast("long") * F.col("reps")).alias("n")).unionByName(decided.select("doc_id", "t", "lo", "n"))
+    lists = gone.groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "n")).alias("gone"))
+    return docs.join(lists, ["doc_id", "t"], "left").select("doc_id", "text", "gone")
 
 
 def mask(lists: pa.Array, off: np.ndarray, window: int) -> np.ndarray:

@@ -7,15 +7,17 @@ Reference blocks hold the stretches around shared anchors (see
 :mod:`repeats`), so every block in which a stretch can have a match is the one it
 meets.  A block is indexed by a suffix array over its words.  Each stretch is
 parsed greedily against the parts of the block that come from smaller
-documents: at each place the longest match is the next factor, a word without
-match is a literal.  Factors of ``LENGTH`` words or more are duplicate spans.
-A window over a factor boundary lies in no factor; those are looked up one by
-one around each boundary.  An anchor dealt over several blocks has its open
-windows compared across them by digest.
+documents: from a factor's start an interval of the array is narrowed word by
+word for as long as it holds a smaller document; that is the next factor, a word
+without match is a literal.  Factors of ``LENGTH`` words or more are duplicate
+spans.  A window over a factor boundary lies in no factor; those are looked up
+in the same index.  An anchor dealt over several blocks has its open windows
+merged across them.
 
 Defined cases: a null text has no words, a text with fewer than ``LENGTH`` words
-loses none; rows with a null doc_id lose nothing; rows that repeat a doc_id must
-be whole repeats and get the same result each; other columns are not read.
+loses none; rows with a null doc_id lose nothing; whole repeats of a row get the
+same result each; rows that share a doc_id and differ in text are documents of
+equal id, so none is before the other; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,64 +31,129 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import repeats as R
-from .suffixes import of_words, sequence_sums
-
-LENGTH, GRAM = 13, 3
-
-
-def longest_matches(sa: np.ndarray, lcp: np.ndarray, doc: np.ndarray, rem: np.ndarray) -> np.ndarray:
-    """For each place, the longest prefix that also starts in a smaller document.
-
-    Depth by depth: entries of the suffix array with that much in common are one
-    interval, and its smallest document decides for all of it.
+from .suffixes import sequence_sums, suffix_array
+
+LENGTH, GRAM = 13, 5
+
+
+class Block:
+    """A suffix array over a block's words, searched by interval refinement; ``lookups`` counts the places that a search began at."""
+
+    def __init__(self, tokens: np.ndarray, off: np.ndarray, doc: np.ndarray):
+        n = len(tokens)
+        self.tokens, self.end, self.doc = tokens, np.repeat(off[1:], np.diff(off)), doc
+        self.sa = suffix_array(tokens, 1, self.end - np.arange(n))
+        # Smallest document of 2^k entries from each place of the array.
+        self.least = [doc[self.sa]]
+        while 2 << len(self.least) - 1 <= n:
+            half = 1 << len(self.least) - 1
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
+        self.lookups = 0
+
+    def smallest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Smallest document among the entries lo to hi - 1 of the suffix array (lo < hi)."""
+        level = np.frexp((hi - lo).astype(float))[1] - 1
+        out = np.empty(len(lo), np.int64)
+        for k in np.unique(level).tolist():
+            m = level == k
+            out[m] = np.minimum(self.least[k][lo[m]], self.least[k][hi[m] - (1 << k)])
+        return out
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, token: np.ndarray, right: bool) -> np.ndarray:
+        """Binary search among entries lo to hi for ``token`` at ``depth``; an ended text stands before all tokens."""
+        lo, hi = lo.copy(), hi.copy()
+        while True:
+            live = np.flatnonzero(lo < hi)
+            if not len(live):
+                return lo
+            mid = (lo[live] + hi[live]) >> 1
+            at = self.sa[mid] + depth[live]
+            inside = at < self.end[self.sa[mid]]
+            value = np.where(inside, self.tokens[np.minimum(at, len(self.tokens) - 1)], -1)
+            below = (value <= token[live]) if right else (value < token[live])
+            lo[live[below]] = mid[below] + 1
+            hi[live[~below]] = mid[~below]
+
+    def extend(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals narrowed by the word at ``at + depth``, and whether a smaller document than that of ``at`` is left in them."""
+        token = self.tokens[at + depth]
+        lo = self._bound(lo, hi, depth, token, False)
+        hi = self._bound(lo, hi, depth, token, True)
+        ok = lo < hi
+        ok[ok] = self.smallest(lo[ok], hi[ok]) < self.doc[at[ok]]
+        return lo, hi, ok
+
+
+def factors(block: Block, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the greedy factors of all texts; a word without a match is a literal of length 1.
+
+    All texts are parsed in step, a word of each at a time; a search begins at factor starts only.
+    """
+    starts, sizes = [], []
+    n = len(block.tokens)
+    at, end = off[:-1][np.diff(off) > 0], off[1:][np.diff(off) > 0]
+    lo, hi, depth = np.zeros(len(at), np.int64), np.full(len(at), n), np.zeros(len(at), np.int64)
+    block.lookups += len(at)
+    while len(at):
+        more = at + depth < end
+        ok = np.zeros(len(at), bool)
+        x, y, ok[more] = block.extend(lo[more], hi[more], depth[more], at[more])
+        lo[more], hi[more] = x, y
+        depth[ok] += 1
+        done = ~ok
+        if done.any():
+            starts.append(at[done])
+            sizes.append(np.maximum(depth[done], 1))
+            at[done] += np.maximum(depth[done], 1)
+            lo[done], hi[done], depth[done] = 0, n, 0
+            stay = at < end
+            block.lookups += int((done & stay).sum())
+            at, end, lo, hi, depth = at[stay], end[stay], lo[stay], hi[stay], depth[stay]
+    s, k = np.concatenate(starts) if starts else np.empty(0, np.int64), np.concatenate(sizes) if sizes else np.empty(0, np.int64)
+    order = np.argsort(s)
+    return s[order], k[order]
+
+
+def holds(block: Block, at: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window at each place also starts in a smaller document."""
+    found = np.zeros(len(at), bool)
+    block.lookups += len(at)
+    live, lo, hi = np.arange(len(at)), np.zeros(len(at), np.int64), np.full(len(at), len(block.tokens))
+    for depth in range(window):
+        lo, hi, ok = block.extend(lo, hi, np.full(len(live), depth), at[live])
+        live, lo, hi = live[ok], lo[ok], hi[ok]
+    found[live] = True
+    return found
+
+
+def parse(block: Block, off: np.ndarray, window: int) -> np.ndarray:
+    """Places at which a duplicate window starts.
+
+    Windows inside a factor need no look.  Those over a boundary are looked up,
+    but for windows that begin where a factor does: that factor is the longest
+    match there, so a shorter one than the window rules it out.
     """
-    out = np.zeros(len(sa), np.int64)
-    d, left, alive = doc[sa], rem[sa], np.arange(len(sa))
-    depth = 1
-    while len(alive):
-        # Dropped entries are whole intervals, or ended texts, which stand at the front of theirs: no cut is hidden.
-        cut = np.empty(len(alive), bool)
-        cut[0] = True
-        cut[1:] = lcp[alive[1:]] < depth
-        at = np.flatnonzero(cut)
-        least = np.minimum.reduceat(d[alive], at)[np.cumsum(cut) - 1]
-        hit = (least < d[alive]) & (left[alive] >= depth)
-        out[sa[alive[hit]]] = depth
-        depth += 1
-        # An interval stays as long as any of its entries has a match; all of it is kept as a source.
-        useful = np.logical_or.reduceat(hit, at)[np.cumsum(cut) - 1] & (left[alive] >= depth)
-        alive = alive[useful]
-    return out
-
-
-def parse(match: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
-    """Greedy factors of all texts in step; places at which a duplicate window starts."""
-    starts = np.zeros(len(match) + 1, np.int64)
-    lane = np.flatnonzero(np.diff(off) > 0)
-    at = off[lane]
-    found = np.zeros(len(match), bool)
-    while len(lane):
-        size = match[at]
-        long = size >= window
-        np.add.at(starts, at[long], 1)
-        np.add.at(starts, (at + size - window + 1)[long], -1)
-        at = at + np.maximum(size, 1)
-        inside = at < off[lane + 1]
-        lane, at = lane[inside], at[inside]
-        for back in range(1, window):  # windows over the boundary at ``at``
-            s = at - back
-            ok = s >= off[lane]
-            found[s[ok]] |= match[s[ok]] >= window
-    return found | (np.cumsum(starts[:-1]) > 0)
+    start, size = factors(block, off)
+    n = len(block.tokens)
+    inside = np.zeros(n + 1, np.int64)
+    long = size >= window
+    np.add.at(inside, start[long], 1)
+    np.add.at(inside, (start + size - window + 1)[long], -1)
+    found = np.cumsum(inside[:-1]) > 0
+    open_ = np.arange(n) + window <= block.end
+    open_ &= ~found
+    open_[start] = False
+    at = np.flatnonzero(open_)
+    found[at[holds(block, at, window)]] = True
+    return found
 
 
 def decide(window: int):
     def by_factors(data, off, doc, lo, size):
         starts, ends, tok = A.word_bounds(data, off)
         h = A.Hasher(data).ranges(starts, ends)
-        sa, lcp, rem = of_words(h, tok)
-        match = longest_matches(sa, lcp, np.repeat(doc, np.diff(tok)), rem)
-        dup = parse(match, tok, window)
+        block = Block(np.unique(h, return_inverse=True)[1].astype(np.int64), tok, np.repeat(doc, np.diff(tok)))
+        dup = parse(block, tok, window)
         context = np.repeat(np.arange(len(size)), size)
         at = tok[context] + np.arange(int(size.sum())) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
         total, down = sequence_sums(h)

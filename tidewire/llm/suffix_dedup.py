@@ -7,12 +7,13 @@ the same one.  Strings are judged on the input and never cross documents.
 Shards hold the stretches around shared anchors (see :mod:`repeats`); each builds
 a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's
 rule, in numpy; entries with ``LENGTH`` bytes in common are one string, and its
-earliest occurrence stays.  Strings of an anchor that is dealt over several
-shards are merged across them by binary search.
+earliest occurrence stays.  Where an anchor is dealt over several shards, each
+leaves its open strings as sorted arrays, which are merged by binary search.
 
 Defined cases: a null text is empty, a text shorter than ``LENGTH`` loses
-nothing; rows with a null doc_id lose nothing; rows that repeat a doc_id must be
-whole repeats and get the same result each; other columns are not read.
+nothing; rows with a null doc_id lose nothing; whole repeats of a row get the
+same result each; rows that share a doc_id and differ in text are parts of one
+document by place; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from . import arrays as A
 from . import repeats as R
 from .suffixes import of_bytes
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 
 
 def decide(window: int):
