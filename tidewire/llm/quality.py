@@ -5,9 +5,12 @@ as content (1) or boilerplate (0) by Viterbi decoding; the share of a text's
 words that lie in content lines decides retention.
 
 The model is fitted on at most ``sample_docs`` labelled documents (those with
-the smallest hashes of their ids) and at most ``sample_lines`` of their lines:
-the lines of a document labelled good count as content, of one labelled bad as
-boilerplate.  Statistics and verdicts cover every whole text.
+the smallest hashes of their ids) and at most ``sample_lines`` of their lines.
+Only documents are labelled, so the labels of lines are latent: they begin as
+their document's, and in each round of :func:`learn` a line that the model is
+sure of takes the model's label, be its document good or bad.  Mixed documents
+thus get mixed labels, and the transitions between them are learnt.  Statistics
+and verdicts cover every whole text.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
 table without usable labels takes ``DEFAULT``; repeated rows are judged alike;
@@ -133,7 +136,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_line
     if rows.y.nunique() < 2:
         return DEFAULT
     change = np.flatnonzero((rows.doc_id.values[1:] != rows.doc_id.values[:-1]) | (rows.line.values[1:] <= rows.line.values[:-1])) + 1
-    return crf.fit(np.stack(rows.x.values), rows.y.values.astype(np.int8), np.concatenate([[0], change, [len(rows)]]))
+    return learn(np.stack(rows.x.values), rows.y.values.astype(np.int8), np.concatenate([[0], change, [len(rows)]]))
+
+
+def learn(x: np.ndarray, y: np.ndarray, off: np.ndarray, rounds: int = 2, sure: float = 0.8) -> crf.Model:
+    """A chain model of latent line labels; ``y`` has each line's document label.
+
+    The first labels come from lines on their own, as a chain fitted to whole
+    documents of one label would never change it.  A good document keeps a line
+    of content, and a bad one a line of boilerplate.
+    """
+    alone = crf.fit(x, y, np.arange(len(x) + 1))
+    p = 1 / (1 + np.exp(-(alone.emissions(x) + alone.start[1] - alone.start[0])))
+    model = alone
+    for _ in range(rounds):
+        labels = np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, y)).astype(np.int8)
+        # The line nearest to its document's label stays with it.
+        order = np.lexsort((np.where(y == 1, -p, p), np.repeat(np.arange(len(off) - 1), np.diff(off))))
+        nearest = order[off[:-1][np.diff(off) > 0]]
+        labels[nearest] = y[nearest]
+        model = crf.fit(x, labels, off)
+        p = crf.marginals(model.emissions(x), off, model)[0]
+    return model
+
+
+def lines(docs: DataFrame, model: crf.Model = DEFAULT) -> DataFrame:
+    """(doc_id, line, n_words, content) of every line with a word, counted from 0 in each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("n_words", pa.int64()), ("content", pa.bool_())])
+
+    def rows(batches):
+        for b in A.pieces(batches):
+            _, x, words, off = _measure(b["text"])
+            n = np.diff(off)
+            row = np.repeat(np.arange(len(n)), n)
+            y = crf.viterbi(model.emissions(x), off, model) if len(words) else np.empty(0, np.int8)
+            yield A.batch(schema, b["doc_id"].take(pa.array(row)), np.arange(len(row)) - off[row], words, y == 1)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, line long, n_words long, content boolean")
 
 
 def _verdicts(column: pa.Array, model: crf.Model, least_share: float) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
