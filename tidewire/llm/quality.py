@@ -7,9 +7,9 @@ words that lie in content lines decides retention.
 The model is fitted on at most ``sample_docs`` labelled documents (those with
 the smallest hashes of their ids) and at most ``sample_lines`` of their lines.
 Only documents are labelled, so the labels of lines are latent: they begin as
-their document's, and in each round of :func:`learn` a line that the model is
-sure of takes the model's label, be its document good or bad.  Mixed documents
-thus get mixed labels, and the transitions between them are learnt.  Statistics
+their document's, and in each round of :func:`learn` the model may move a line
+to the other label, be its document good or bad.  Mixed documents thus get
+mixed labels, and the transitions between them are learnt.  Statistics
 and verdicts cover every whole text.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
@@ -29,6 +29,7 @@ from . import arrays as A
 from . import crf
 
 WINDOW = 8
+LEAST_SHARE = 0.4  # of a text's words, in content lines
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
@@ -143,14 +144,17 @@ def learn(x: np.ndarray, y: np.ndarray, off: np.ndarray, rounds: int = 2, sure:
     """A chain model of latent line labels; ``y`` has each line's document label.
 
     The first labels come from lines on their own, as a chain fitted to whole
-    documents of one label would never change it.  A good document keeps a line
-    of content, and a bad one a line of boilerplate.
+    documents of one label would never change it.  Content stands in documents of
+    both labels, boilerplate mostly in bad ones: a line of a bad document is
+    content if, with both kinds of documents weighed alike, it looks like a good
+    one's, and a line of a good document is boilerplate only if the model is
+    ``sure``.  A good document keeps a line of content, a bad one of boilerplate.
     """
     alone = crf.fit(x, y, np.arange(len(x) + 1))
-    p = 1 / (1 + np.exp(-(alone.emissions(x) + alone.start[1] - alone.start[0])))
+    p = 1 / (1 + np.exp(-(alone.emissions(x) + alone.start[1] - alone.start[0] + np.log((y == 0).sum() / (y == 1).sum()))))
     model = alone
     for _ in range(rounds):
-        labels = np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, y)).astype(np.int8)
+        labels = np.where(y == 1, p > 1 - sure, p > 0.5).astype(np.int8)
         # The line nearest to its document's label stays with it.
         order = np.lexsort((np.where(y == 1, -p, p), np.repeat(np.arange(len(off) - 1), np.diff(off))))
         nearest = order[off[:-1][np.diff(off) > 0]]
@@ -184,7 +188,7 @@ def _verdicts(column: pa.Array, model: crf.Model, least_share: float) -> tuple[l
     return stats, share, failed, ~failed & (share >= least_share)
 
 
-def judge(docs: DataFrame, labels: DataFrame | None = None, model: crf.Model | None = None, least_share: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None = None, model: crf.Model | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per document: base statistics, content share, base_failed and kept."""
     model = model or (fit(docs, labels) if labels is not None else DEFAULT)
     schema = pa.schema([("doc_id", pa.int64()), *STATS, ("content_share", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
@@ -197,7 +201,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, model: crf.Model | N
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean")
 
 
-def keep(docs: DataFrame, labels: DataFrame | None = None, model: crf.Model | None = None, least_share: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame | None = None, model: crf.Model | None = None, least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents that :func:`judge` keeps, with all their columns, in one pass and without a shuffle."""
     model = model or (fit(docs, labels) if labels is not None else DEFAULT)
 
