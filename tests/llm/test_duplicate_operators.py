@@ -198,9 +198,9 @@ def test_simhash_groups(docs_of, spark, tile, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i in fp if root[i] == i} | {None}
 
 
-@pytest.mark.parametrize("tile", [simhash.WIDE_TILE, 4])
+@pytest.mark.parametrize("tile", [simhash.TILE, 4])
 def test_one_of_each_joins_like_shingle_sets(docs_of, spark, tile, monkeypatch):
-    """Kept documents lie between the groups of exact Jaccard 0.9 and those of 0.65, both with fingerprint links."""
+    """Kept documents are those of the groups of exact Jaccard 0.8, with fingerprint links."""
     rng = random.Random(11)
     texts = [(0, None), (1, ""), (2, "one two"), (3, "One  two"), (4, "three four five")]
     base = [[f"w{rng.randint(0, 400)}" for _ in range(120)] for _ in range(4)]
@@ -229,11 +229,11 @@ def test_one_of_each_joins_like_shingle_sets(docs_of, spark, tile, monkeypatch):
                         root[i] = root[j] = min(root[i], root[j])
         return {i for i in root if root[i] == i}
 
-    assert roots(0.65) | {None} <= got <= roots(0.9) | {None}
-    assert len(roots(0.9)) < len(words) - 10
+    assert got == roots(0.8) | {None}
+    assert len(got) < len(words) - 10
 
 
-@pytest.mark.parametrize("stars,tile", [(simhash.STARS, simhash.WIDE_TILE), (0, 3)])
+@pytest.mark.parametrize("stars,tile", [(simhash.STARS, simhash.TILE), (0, 3)])
 def test_shingle_sets_are_compared_exactly(docs_of, stars, tile, monkeypatch):
     """Pairs around Jaccard 0.8, of 5-word shingles each, and a line repeated 2 and 40 times."""
     monkeypatch.setattr(simhash, "STARS", stars)

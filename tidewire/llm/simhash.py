@@ -22,10 +22,14 @@ all pairs, and connected components over these links give the groups.
 Jaccard similarity of ``SIMILAR`` or more.  Equal sets form one class first.
 Bands of minimum hashes only propose pairs (a pair at 0.8 shares one with
 probability 1 - 5e-8); the sets of a proposed pair are then compared exactly.
-First every class of a band is compared with one class of it, so that a large
-group of near copies comes together in few comparisons.  Then all pairs of a
-band that are still apart are compared, but for those whose sketches agree in
-fewer places than six standard errors below ``similar`` leave.
+The classes that share a band then meet by prefix filtering: shingles are put in
+a common order, rare ones first, and two sets reach ``similar`` only if they
+share one among their first fifth, so early that enough are left after it.  Texts
+that share a long passage and differ in much else fall out there, by what each
+has alone.  So that a large group of near copies comes together in few
+comparisons, ``STARS`` times each class without a link is first compared with the
+one that has least alone in its largest band; the pairs that are still apart
+after that are compared exactly, but for those that the prefixes rule out.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; rows with a null doc_id get a fingerprint and a null component; repeated
@@ -39,7 +43,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -49,7 +53,6 @@ from .suffixes import sequence_sums
 
 SIZE, SEED, RADIUS, TILE = 4, 42, 4, 2048
 SHINGLE, SIMILAR, BANDS, BAND_ROWS, SKETCH, STARS = 5, 0.8, 32, 4, 128, 2
-WIDE_TILE = 4 * TILE  # rows with sketches are long, so a large bucket is sent to fewer units
 _U = np.uint64
 
 
@@ -208,7 +211,7 @@ def _runs(batches, width: int, unit: slice):
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [A.utf8(c)[0].reshape(-1, SKETCH) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[:width]]
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:width]]
         if held:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         last = np.logical_and.reduce([c == c[-1] for c in cols[unit]])
@@ -317,40 +320,47 @@ def _alike(pairs: DataFrame, texts: DataFrame, similar: float, most: int = 2048)
     return rows.mapInArrow(check, "a long, b long").distinct()
 
 
-def _proposed(shared: DataFrame, sketches: DataFrame, similar: float, tile: int) -> DataFrame:
-    """Pairs (a, b) of rows (rep, key, size, root) of a bucket that have different roots, and sketches and sizes that do not rule them out."""
-    apart = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """(key, rep, size, at): the rarest shingles of each set of ``sets`` (rep, shingles), in a common order.
+
+    Two like sets share a shingle among the first ``size - ceil(similar * size) + 1`` of both, whatever
+    the order.  With rare ones first, what a set has alone stands before all that it shares.
+    """
+    each = sets.select("rep", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(common, "key")
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("rep"))
+    at = alone + F.row_number().over(Window.partitionBy("rep").orderBy("df", "key")) - 1
+    return shared.select("key", "rep", "size", at.alias("at")).where(F.col("at") <= F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9))
+
+
+def _proposed(prefixes: DataFrame, similar: float, tile: int) -> DataFrame:
+    """Pairs (a, b) of sets with different roots whose prefixes meet early enough for ``similar``."""
+    apart = prefixes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
     unit = ["part", "key", "u", "v"]
-    rows = _units(shared.join(apart, "key").withColumn("part", F.lit(0)), tile).join(sketches, "rep").select("rep", *unit, "root", "size", "sketch")
+    rows = _units(prefixes.join(apart, "key").withColumn("part", F.lit(0)), tile).select("rep", *unit, "root", "size", "at")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    agree = int(SKETCH * similar - 6 * np.sqrt(SKETCH * similar * (1 - similar)))
 
     def propose(batches):
         for cols in _runs(batches, 8, slice(1, 5)):
             cuts = np.append(np.flatnonzero(_changes(cols[1:5])), len(cols[0]))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                rep, root, size, sketch = (c[lo:hi] for c in (cols[0], cols[5], cols[6], cols[7]))
-                roots, of, counts = np.unique(root, return_inverse=True, return_counts=True)
-                if len(roots) < 2:
-                    continue
-                # Rows of the largest group are not compared among themselves.
-                main = of == counts.argmax()
-                for i in np.flatnonzero(~main).tolist():
-                    fit = (main | (np.arange(hi - lo) > i)) & (root != root[i])
-                    fit &= np.minimum(size, size[i]) >= similar * np.maximum(size, size[i]) - 1e-9
-                    j = np.flatnonzero(fit)
-                    j = j[(sketch[j] == sketch[i]).sum(1) >= agree]
+                rep, root, size, at = (c[lo:hi] for c in (cols[0], cols[5], cols[6], cols[7]))
+                left = size - at  # a common shingle here leaves at most so many to share
+                for i in range(len(rep) - 1):
+                    need = similar / (1 + similar) * (size[i] + size[i + 1 :]) - 1e-9
+                    j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.minimum(left[i], left[i + 1 :]) >= need))
                     if len(j):
                         yield A.batch(schema, np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i]))
 
     return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(propose, "a long, b long").distinct()
 
 
-def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = WIDE_TILE) -> DataFrame:
+def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = TILE) -> DataFrame:
     """(a, b) over doc_id: enough links between documents whose shingle sets are alike to connect all groups."""
-    fields = "doc_id long, rep long, size long, sketch binary, bands array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
     named = pa.schema([("rep", pa.int64()), ("text", pa.string())])
+    sets = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def rows(batches):
         for b in A.pieces(batches):
@@ -361,40 +371,46 @@ def similar_links(docs: DataFrame, similar: float = SIMILAR, tile: int = WIDE_TI
             keys = np.tile(np.arange(BANDS, dtype=_U), (len(low), 1))
             for i in range(BAND_ROWS):
                 keys = A.mix(keys ^ low[:, i * BANDS : (i + 1) * BANDS])
-            small = (A.mix(low) & _U(255)).astype(np.uint8)
-            yield A.batch(schema, b["doc_id"].filter(pa.array(some)), name, np.diff(off), [x.tobytes() for x in small], list(keys.view(np.int64)))
+            yield A.batch(schema, b["doc_id"].filter(pa.array(some)), name, np.diff(off), list(keys.view(np.int64)))
 
     def name_of(batches):
         for b in A.pieces(batches):
             yield A.batch(named, pa.array(_names(*_sets(b["text"])), pa.int64()), b["text"].cast(pa.string()))
 
+    def shingles_of(batches):
+        for b in A.pieces(batches):
+            values, off = _sets(b["text"])
+            yield A.batch(sets, b["rep"], pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values.view(np.int64))))
+
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    made = stored(docs.mapInArrow(rows, fields))
+    made = stored(docs.mapInArrow(rows, "doc_id long, rep long, size long, bands array<long>"))
     # Documents with the same set are one class; their links to its smallest id need no comparison.
-    classes = stored(made.groupBy("rep").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    classes = stored(made.groupBy("rep").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     keyed = classes.select("rep", "size", F.explode("bands").alias("key"))
-    shared = stored(keyed.join(classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    shared = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     ids = shared.select("rep").distinct().join(classes.select("rep", F.col("least").alias("doc_id")), "rep").select("doc_id").distinct()
     texts = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(name_of, "rep long, text string").dropDuplicates(["rep"]))
 
-    found = done = None
-    rooted = shared.withColumn("root", F.col("rep"))
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            pick = F.min_by(F.struct("rep", "root", "size"), F.xxhash64("rep", F.lit(turn)))
-            centres = rooted.groupBy("key").agg(pick.alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "c")
-            fits = F.least("size", "c.size") >= similar * F.greatest("size", "c.size") - 1e-9
-            pairs = rooted.join(centres, "key").where(F.col("root") != F.col("c.root")).where(fits).select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct()
-        else:
-            pairs = _proposed(rooted, classes.select("rep", "sketch"), similar, tile)
-        if done is not None:
-            pairs = pairs.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        alike = stored(_alike(pairs, texts, similar))
-        done, found = (pairs, alike) if done is None else (done.unionByName(pairs), found.unionByName(alike))
-        if turn < STARS:
-            roots = stored(components(found).withColumnRenamed("node", "rep"))
-            rooted = shared.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    prefixes = stored(_prefixes(texts.mapInArrow(shingles_of, "rep long, shingles array<long>"), similar))
+    # A set with too many shingles of its own has no prefix row, and no like set.
+    shared = stored(shared.join(prefixes.groupBy("rep").agg(F.min("at").alias("alone")), "rep"))
+
+    found, free = None, shared
+    for turn in range(STARS):
+        # Each class without a link is compared with the one of fewest own shingles in the largest bucket that it is in.
+        central = F.struct(F.col("alone") / F.col("size"), F.xxhash64("rep"))
+        centres = free.groupBy("key").agg(F.min_by(F.struct("rep", "size", "alone"), central).alias("c"), F.count("*").alias("many")).where("many > 1")
+        met = free.join(centres, "key").where("rep <> c.rep").groupBy("rep", "size", "alone").agg(F.max_by("c", F.struct("many", "key")).alias("c"))
+        enough = F.least(F.col("size") - F.col("alone"), F.col("c.size") - F.col("c.alone")) >= F.lit(similar / (1 + similar)) * (F.col("size") + F.col("c.size")) - 1e-9
+        alike = stored(_alike(stored(met.where(enough).select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))), texts, similar))
+        found = alike if found is None else found.unionByName(alike)
+        roots = stored(components(found).withColumnRenamed("node", "rep"))
+        free = shared.join(roots, "rep", "left_anti")
+    # Sets that are not together yet meet by their rarest shingles; only pairs that these do not rule out are compared.
+    rooted = prefixes if found is None else prefixes.join(roots, "rep", "left")
+    rooted = rooted.withColumn("root", F.col("rep") if found is None else F.coalesce("root", "rep"))
+    rest = stored(_alike(stored(_proposed(rooted, similar, tile)), texts, similar))
+    found = rest if found is None else found.unionByName(rest)
     of = classes.select("rep", "least")
     between = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     own = made.select("doc_id", "rep").join(of, "rep").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
