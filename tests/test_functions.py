@@ -256,3 +256,87 @@ def test_assignment_widens_ranges(spark):
     pairs = spark.createDataFrame([("k", 1, 2, 0.5), ("k", 1, 3, 0.5), ("k", 2, 3, 0.5), ("k", 1, 4, 0.9)], "topic string, left long, right long, score double")
     got = {r.article: r.story for r in I.assign(arts, pairs, "topic").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def names_of(text, lex=E.DEFAULT):
+    return {key: (name, kind) for key, name, kind, _ in E.Reader(lex).read(text)}
+
+
+def test_names_at_the_head_of_a_sentence():
+    assert names_of("Jane Doe spoke.") == {"jane doe": ("Jane Doe", "person")}
+    assert names_of("New York City grew. They left New York City.")["new york city"] == ("New York City", "place")
+    assert names_of("Later, rain fell. Weather turned.") == {}
+    assert "weather" in names_of("Weather turned. They blamed Weather again.")
+
+
+def test_runs_end_at_commas_sentences_and_legal_suffixes():
+    assert list(names_of("They saw Jane Doe, Acme Corp Foo. Bar left Bar.")) == ["jane doe", "acme", "foo", "bar"]
+    assert names_of("She runs the Bank of England now.")["bank england"] == ("Bank of England", "org")
+    assert names_of("He met Jean-Luc Marais’s aide.") == {"jean luc marais": ("Jean-Luc Marais", "concept")}
+    assert list(names_of("a One Two Three Four Five b")) == ["one two three four", "five"]
+    assert names_of("the NATO Summit") == {"nato": ("NATO", "concept"), "summit": ("Summit", "concept")}
+
+
+def test_kinds_follow_the_first_cue():
+    kinds = lambda t: {k: v[1] for k, v in names_of(t).items()}
+    assert kinds("they met senator Wibble in Frankfurt") == {"wibble": "person", "frankfurt": "place"}
+    assert kinds("the acquisition of Tinyco by the central bank of Belvern") == {"tinyco": "org", "belvern": "place"}
+    assert kinds("it launched Foo yesterday") == {"foo": "product"}
+    assert kinds("we tried Foo, an AI assistant for all") == {"foo": "product"}
+    assert kinds("many saw Foo and left") == {"foo": "concept"}
+    # The majority of mentions decides, the first of equals.
+    assert kinds("it launched Foo. we saw Foo. they like Foo too") == {"foo": "concept"}
+    assert kinds("it launched Foo. we saw Foo too") == {"foo": "product"}
+
+
+def test_names_that_name_nothing():
+    lex = E.Lexicon(publishers=("daily planet",))
+    assert names_of("as the Daily Planet wrote, the Council met Points Comments", lex) == {}
+    assert names_of("Points: 6 # Comments: 0") == {}
+    assert names_of("GET A B THE NEW BIG RED HOT CAR NOW OR NEVER") == {}
+
+
+def test_lexicon_from_a_table(spark):
+    rows = [("given_names", "Wibble", None), ("demonyms", "frobian", "frobia"), ("publishers", "planet", None)]
+    lex = E.Lexicon.from_table(spark.createDataFrame(rows, "list string, word string, value string"))
+    assert lex.given_names == ("wibble",) and lex.demonyms == {"frobian": "frobia"} and lex.furniture == E.DEFAULT.furniture
+    assert names_of("they met Wibble Doe of the Frobian Army and read Planet", lex) == {"wibble doe": ("Wibble Doe", "person"), "frobia army": ("Frobian Army", "concept")}
+
+
+def test_keys_agree_with_their_column(spark):
+    names = ["The Acme's Corp.", "Bank of England", "fired OpenThing", "U.S. Senate", "German Army", "Inc", "", "Former"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", E.canonical_key(F.col("n")).alias("k")).collect()
+    assert {r.n: r.k for r in got} == {n: E.Reader().key(n) for n in names}
+
+
+def test_plain_text_agrees_with_its_column(spark):
+    from tidewire.functions import text as T
+
+    texts = [
+        "  By Jane Doe, Staff Writer\nThe   news. https://a.b/c d", "Photo by Al Bo. Text Here", "x Points: 6 # Comments: 0 y", "The post A first appeared on B.", "Story Continue reading...",
+        "Caption: a dog. Text", "doi:10.1/x text", "Credit SMITH. said", "standby by Byron", "é — plain",
+    ]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip_feed_metadata(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: E.plain_text(t) for t in texts}
+
+
+def test_extract_takes_odd_rows(spark):
+    rows = [(None, "Jane Doe spoke"), (1, None), (2, ""), (2, "Jane Doe spoke"), (2, "Jane Doe spoke")]
+    got = E.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.key) for r in got) == [(0, "jane doe"), (2, "jane doe"), (2, "jane doe")]
+
+
+def test_a_replayed_batch_keeps_its_rows(spark, tmp_path):
+    """Each batch's commit mark is removed in turn, as after a crash between write and commit."""
+    from tidewire.streaming import ingest
+
+    folder, schema = tmp_path / "in", "k long, v string"
+    for i, ks in enumerate([(1, 2), (2, 3), (1, 3, 4)]):
+        spark.createDataFrame([(k, f"b{i}") for k in ks], schema).coalesce(1).write.parquet(str(folder / f"t{i}"))
+    table = lambda: {r.k: r.v for r in ingest.first_writes(ingest.source(spark, str(folder), "part", schema), ["k"], ["v"], str(tmp_path / "out")).collect()}
+    first = table()
+    assert set(first) == {1, 2, 3, 4}
+    commits = tmp_path / "out" / "checkpoint" / "commits"
+    for f in [*commits.glob("2"), *commits.glob(".2.crc")]:
+        f.unlink()
+    assert table() == first

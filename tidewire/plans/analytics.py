@@ -149,9 +149,9 @@ def arc_03_match_all_terms(t) -> DataFrame:
     return A.having_terms(items(t), A.postings(items(t)), ["The", "and"]).select("kind", "item_id")
 
 
-@query("SELECT kind, item_id, count(*) OVER () AS total FROM items WHERE topic_id < 3 AND (kind = 'snapshot' OR created_at >= TIMESTAMP '2024-01-05') AND topic_id IN (SELECT topic_id FROM topics) ORDER BY created_at DESC, kind DESC, item_id DESC LIMIT 25 OFFSET 50", ITEMS)
+@query("SELECT kind, item_id, count(*) OVER () AS total FROM items WHERE (kind = 'snapshot' OR created_at >= TIMESTAMP '2024-01-05') AND topic_id IN (SELECT topic_id FROM topics) ORDER BY created_at DESC, kind DESC, item_id DESC LIMIT 25 OFFSET 50", ITEMS)
 def arc_04_search(t) -> DataFrame:
-    return A.search(items(t).where("topic_id < 3"), t.topics, since=F.lit("2024-01-05").cast("timestamp"), offset=60).select("kind", "item_id", "total")
+    return A.search(items(t), t.topics, since=F.lit("2024-01-05").cast("timestamp"), offset=60).select("kind", "item_id", "total")
 
 
 @query("SELECT 'topic' AS facet, CAST(topic_id AS VARCHAR) AS value FROM items WHERE topic_id < 5 UNION SELECT 'source', CAST(doc_id % 20 AS VARCHAR) FROM texts UNION SELECT 'source', CAST(source_id AS VARCHAR) FROM feedback WHERE topic_id < 5 UNION SELECT 'source', split_part(cluster_id, '-', len(string_split(cluster_id, '-'))) FROM clusters UNION SELECT 'entity', CAST(doc_id % 50 AS VARCHAR) FROM texts", ITEMS)
@@ -190,17 +190,18 @@ def fbk_04_hidden_in_topic(t) -> DataFrame:
     return B.hidden_in(hidden(t), 2)
 
 
-STORY = "m AS (SELECT DISTINCT k AS cluster_id, user_id % 40 AS story_id FROM ev), st AS (SELECT event_id AS article_id, user_id % 40 AS story_id FROM ev WHERE event_id % 10 = 0)"
+STORY = "m AS (SELECT DISTINCT k AS cluster_id, k * 10 + k % 10 AS story_id FROM ev), st AS (SELECT event_id AS article_id, k * 10 + user_id % 10 AS story_id FROM ev)"
 
 
 def story_members(t) -> tuple[DataFrame, DataFrame]:
-    return t.ev.select(F.col("k").alias("cluster_id"), (F.col("user_id") % 40).alias("story_id")).distinct(), t.ev.where("event_id % 10 = 0").select(F.col("event_id").alias("article_id"), (F.col("user_id") % 40).alias("story_id"))
+    """Clusters with their story, and articles with theirs."""
+    return t.ev.select(F.col("k").alias("cluster_id"), (F.col("k") * 10 + F.col("k") % 10).alias("story_id")).distinct(), t.ev.select(F.col("event_id").alias("article_id"), (F.col("k") * 10 + F.col("user_id") % 10).alias("story_id"))
 
 
-@query("SELECT s.user_id, st.article_id, CAST(sum(s.weight) AS BIGINT) AS weight FROM sig s JOIN m ON m.cluster_id = s.cluster_id JOIN st ON st.story_id = m.story_id WHERE s.user_id < 20 GROUP BY 1, 2", f"{DECIDED}, {STORY}")
+@query("SELECT s.user_id, st.article_id, CAST(sum(s.weight) AS BIGINT) AS weight FROM sig s JOIN m ON m.cluster_id = s.cluster_id JOIN st ON st.story_id = m.story_id GROUP BY 1, 2", f"{DECIDED}, {STORY}")
 def fbk_05_article_weights(t) -> DataFrame:
     m, st = story_members(t)
-    return B.article_weights(B.signals(t.feedback.where("user_id < 20")), m, st)
+    return B.article_weights(B.signals(t.feedback), m, st)
 
 
 @query("SELECT m.cluster_id, round(avg(coalesce(w.weight, 0)), 6) AS relevance FROM m JOIN st ON st.story_id = m.story_id LEFT JOIN (SELECT st.article_id, sum(s.weight) AS weight FROM sig s JOIN m ON m.cluster_id = s.cluster_id JOIN st ON st.story_id = m.story_id WHERE s.user_id = 8 GROUP BY 1) w ON w.article_id = st.article_id GROUP BY 1", f"{DECIDED}, {STORY}")

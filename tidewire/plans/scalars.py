@@ -266,9 +266,14 @@ def arr_01_02_distinct_sorted(t) -> DataFrame:
     return comma.select("user_id", F.array_join(F.array_sort(F.array_distinct(F.filter(F.split("raw", ","), lambda x: x != ""))), ",").alias("ids"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+#: Words of each sentence without stopwords; a sentence ends after a full stop, exclamation or question mark before space, or at a line feed.
+_SENTENCES = rf"sents AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM texts), toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(s), '[a-z][a-z''-]*'), lambda w: w NOT IN ({_STOP})) AS w FROM sents), runs AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM toks)"
+
+
+@query("SELECT phrase, count(DISTINCT doc_id) AS documents FROM runs GROUP BY 1", _SENTENCES)
 def arr_03_phrases(t) -> DataFrame:
-    return t.texts.where("lang = 'en'").select("doc_id", F.explode(T.signature(F.col("text"))["phrases"]).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("documents"))
+    return t.texts.select("doc_id", F.explode(T.signature(F.col("text"))["phrases"]).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT CAST(vec_id AS BIGINT) AS vec_id, 64 AS width, round(CAST(embedding[1] AS DOUBLE), 5) AS first_value FROM embeddings")

@@ -26,9 +26,9 @@ def txt_01_02_tokens(t) -> DataFrame:
     return t.texts.select("doc_id", F.size(k).cast("long").alias("n"), F.array_join(k, " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda w: w NOT IN ({_STOP})))), ' ') AS words FROM texts WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda w: w NOT IN ({_STOP})))), ' ') AS words FROM texts")
 def txt_03_04_signature(t) -> DataFrame:
-    return t.texts.where("lang = 'en'").select("doc_id", F.array_join(T.signature(F.col("text"))["words"], " ").alias("words"))
+    return t.texts.select("doc_id", F.array_join(T.signature(F.col("text"))["words"], " ").alias("words"))
 
 
 @query()
@@ -36,12 +36,12 @@ def txt_05_09_entities(t) -> DataFrame:
     return E.extract(t.texts)
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\b[A-Z]{2,}\\b')) >= 8 AND len(regexp_extract_all(text, '\\b[A-Z]{2,}\\b')) > 3 * (len(regexp_extract_all(text, '\\b[A-Z][A-Za-z]*[a-z][A-Za-z]*\\b')) + 1) AS loud FROM texts WHERE lang = 'en'")
+@query("SELECT doc_id, up >= 8 AND up > 3 * (title + 1) AS loud FROM (SELECT doc_id, len(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{2,}'))) AS up, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][A-Za-z]*[a-z]'))) AS title FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM texts))")
 def txt_06_shouting(t) -> DataFrame:
-    return t.texts.where("lang = 'en'").select("doc_id", E.shouting(F.col("text")).alias("loud"))
+    return t.texts.select("doc_id", E.shouting(F.col("text")).alias("loud"))
 
 
-@query("SELECT entity_id, regexp_replace(trim(regexp_replace(lower(canonical_name), '[^a-z0-9]+', ' ', 'g')), '^((new|old|former) )+', '') AS key FROM entities")
+@query("SELECT entity_id, regexp_replace(trim(regexp_replace(lower(canonical_name), '[^a-z0-9]+', ' ', 'g')), '^((former) )+', '') AS key FROM entities")
 def txt_11_canonical_key(t) -> DataFrame:
     return t.entities.select("entity_id", E.canonical_key(F.col("canonical_name")).alias("key"))
 
@@ -89,24 +89,23 @@ def txt_16_reread_changes(t) -> DataFrame:
 
 
 def stories(t) -> DataFrame:
-    """English texts as stories of their source, with signatures."""
-    sig = t.texts.where("lang = 'en'").select(F.col("source").alias("topic"), F.col("doc_id").alias("story"), F.col("published_at").alias("place"), T.signature(F.col("text")).alias("s"))
+    """Texts as stories of their source, with signatures."""
+    sig = t.texts.select(F.col("source").alias("topic"), F.col("doc_id").alias("story"), F.col("published_at").alias("place"), T.signature(F.col("text")).alias("s"))
     return sig.select("topic", "story", "place", "s.words", "s.phrases")
 
 
-WORDS = f"st AS (SELECT source AS topic, doc_id AS story, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda w: w NOT IN ({_STOP}))) AS words FROM texts WHERE lang = 'en'), jac AS (SELECT a.topic, a.story AS left_id, b.story AS right_id, len(list_intersect(a.words, b.words)) * 1.0 / len(list_distinct(list_concat(a.words, b.words))) AS j FROM st a JOIN st b ON a.topic = b.topic AND a.story < b.story WHERE len(a.words) + len(b.words) > 0)"
+WORDS = f"st AS (SELECT source AS topic, doc_id AS story, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]*'), lambda w: w NOT IN ({_STOP}))) AS words FROM texts), jac AS (SELECT a.topic, a.story AS left_id, b.story AS right_id, len(list_intersect(a.words, b.words)) * 1.0 / len(list_distinct(list_concat(a.words, b.words))) AS j FROM st a JOIN st b ON a.topic = b.topic AND a.story < b.story WHERE len(a.words) + len(b.words) > 0)"
 
 
 @query("SELECT topic, left_id, right_id, round(j, 6) AS jaccard FROM jac WHERE j >= 0.1", WORDS)
 def join_13_self_pairs(t) -> DataFrame:
-    """Pairs of a topic with word Jaccard of 0.1, by prefix filtering."""
-    s = stories(t)
-    keys = ["topic", "story"]
-    p = G.prefixes(s, "words", 0.1, keys)
-    met = p.withColumnRenamed("story", "left_id").join(p.withColumnRenamed("story", "right_id"), ["topic", "term"]).where("left_id < right_id").select("topic", "left_id", "right_id").distinct()
-    side = lambda n, tag: s.select("topic", F.col("story").alias(n), F.col("words").alias(tag))
-    j = met.join(side("left_id", "a"), ["topic", "left_id"]).join(side("right_id", "b"), ["topic", "right_id"]).withColumn("j", S.jaccard(F.col("a"), F.col("b")))
-    return j.where("j >= 0.1").select("topic", "left_id", "right_id", F.round("j", 6).alias("jaccard"))
+    """Pairs of a topic with word Jaccard of 0.1."""
+    return story_pairs(t).select("topic", F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def story_pairs(t) -> DataFrame:
+    terms = F.transform("words", lambda w: F.xxhash64(w)).alias("terms")
+    return G.jaccard_pairs(stories(t).select("topic", "story", terms), 0.1)
 
 
 @query("SELECT s.story_id, a.article_id FROM (SELECT story_id, min(source_id) AS source_id, min(published_at) AS f, max(published_at) AS l FROM articles WHERE story_id IS NOT NULL AND article_id % 2 = 0 GROUP BY 1) s JOIN articles a ON a.source_id = s.source_id AND a.article_id % 2 = 1 AND s.f >= a.published_at - INTERVAL 72 HOUR AND s.l <= a.published_at + INTERVAL 72 HOUR")
@@ -161,10 +160,9 @@ def sim_07_08_gate(t) -> DataFrame:
     return t.ev.select("event_id", S.clears_gate(F.col("value") / 100, sem).alias("both_"), S.clears_gate(F.col("value") / 100, sem, gate="either").alias("either_"))
 
 
-@query("SELECT m.cluster_id, m.story_id, count(DISTINCT ae.entity_id) AS entities FROM (SELECT DISTINCT priority || '-' || CAST(source_id AS VARCHAR) AS cluster_id, story_id, article_id FROM articles WHERE story_id IS NOT NULL AND source_id < 5) m JOIN article_entities ae ON ae.article_id = m.article_id GROUP BY 1, 2")
+@query("SELECT m.cluster_id, m.story_id, count(DISTINCT ae.entity_id) AS entities FROM (SELECT DISTINCT priority || '-' || CAST(source_id AS VARCHAR) AS cluster_id, story_id, article_id FROM articles WHERE story_id IS NOT NULL) m JOIN article_entities ae ON ae.article_id = m.article_id GROUP BY 1, 2")
 def grp_01_grounding(t) -> DataFrame:
-    m = members(t).where(F.element_at(F.split("cluster_id", "-"), -1).cast("int") < 5)
-    return m.join(t.article_entities, "article_id").groupBy("cluster_id", "story_id").agg(F.countDistinct("entity_id").alias("entities"))
+    return members(t).join(t.article_entities, "article_id").groupBy("cluster_id", "story_id").agg(F.countDistinct("entity_id").alias("entities"))
 
 
 @query()
@@ -232,18 +230,11 @@ def ord_05_rank_articles(t) -> DataFrame:
     return t.articles.join(c, "article_id").withColumn("place", F.row_number().over(w)).where("place <= 20").select("priority", "article_id", "place")
 
 
-@query("SELECT left_id, right_id, row_number() OVER (ORDER BY j DESC, left_id, right_id) AS place FROM (SELECT round(j, 9) AS j, left_id, right_id FROM jac WHERE topic = 'src1' AND j >= 0.1)", WORDS)
+@query("SELECT topic, left_id, right_id, row_number() OVER (PARTITION BY topic ORDER BY j DESC, left_id, right_id) AS place FROM (SELECT topic, round(j, 9) AS j, left_id, right_id FROM jac WHERE j >= 0.1)", WORDS)
 def ord_03_candidate_order(t) -> DataFrame:
-    j = join_13_self_pairs_of(t, "src1")
-    return j.select("left_id", "right_id", F.row_number().over(Window.orderBy(F.desc("j"), "left_id", "right_id")).alias("place"))
-
-
-def join_13_self_pairs_of(t, topic: str) -> DataFrame:
-    s = stories(t).where(F.col("topic") == topic)
-    p = G.prefixes(s, "words", 0.1, ["topic", "story"])
-    met = p.withColumnRenamed("story", "left_id").join(p.withColumnRenamed("story", "right_id"), ["topic", "term"]).where("left_id < right_id").select("left_id", "right_id").distinct()
-    side = lambda n, tag: s.select(F.col("story").alias(n), F.col("words").alias(tag))
-    return met.join(side("left_id", "a"), "left_id").join(side("right_id", "b"), "right_id").withColumn("j", F.round(S.jaccard(F.col("a"), F.col("b")), 9)).where("j >= 0.1")
+    """Merge candidates of each topic in order; a topic's order is one sorted partition, spilled by Spark."""
+    j = story_pairs(t).select("topic", F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.round("jaccard", 9).alias("j"))
+    return j.select("topic", "left_id", "right_id", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("j"), "left_id", "right_id")).cast("long").alias("place"))
 
 
 # ---- streaming -------------------------------------------------------------
@@ -324,9 +315,9 @@ def membership(t) -> DataFrame:
     return t.ev.groupBy("topic", F.col("user_id").alias("story")).agg(F.floor(F.max("k") / 5).alias("cluster"))
 
 
-@query("SELECT ord, CASE WHEN NOT known THEN 'unresolved' WHEN contested THEN 'contested' WHEN again > 1 THEN 'duplicated' ELSE 'usable' END AS state FROM (SELECT ord, k % 10 < 8 AND user_id % 10 < 9 AS known, count(DISTINCT topic = 'view') OVER (PARTITION BY least(k, user_id), greatest(k, user_id)) > 1 AS contested, row_number() OVER (PARTITION BY least(k, user_id), greatest(k, user_id) ORDER BY ord) AS again FROM (SELECT event_id AS ord, k, user_id, topic FROM ev WHERE event_id < 3000))")
+@query("SELECT ord, CASE WHEN NOT known THEN 'unresolved' WHEN contested THEN 'contested' WHEN again > 1 THEN 'duplicated' ELSE 'usable' END AS state FROM (SELECT ord, k % 10 < 8 AND user_id % 10 < 9 AS known, count(DISTINCT topic = 'view') OVER (PARTITION BY least(k, user_id), greatest(k, user_id)) > 1 AS contested, row_number() OVER (PARTITION BY least(k, user_id), greatest(k, user_id) ORDER BY ord) AS again FROM (SELECT event_id AS ord, k, user_id, topic FROM ev))")
 def evl_01_resolve_pairs(t) -> DataFrame:
-    p = t.ev.where("event_id < 3000").select(F.col("event_id").alias("ord"), F.when(F.col("k") % 10 < 8, F.col("k")).otherwise(-1).alias("lk_"), F.col("k").alias("left"), F.col("user_id").alias("right"), (F.col("topic") == "view").alias("same_event"))
+    p = t.ev.select(F.col("event_id").alias("ord"), F.col("k").alias("left"), F.col("user_id").alias("right"), (F.col("topic") == "view").alias("same_event"))
     left_known = t.ev.select(F.col("k").alias("key")).where("key % 10 < 8").distinct()
     right_known = t.ev.select(F.col("user_id").alias("key")).where("key % 10 < 9").distinct()
     known = p.join(left_known.select(F.col("key").alias("left"), F.lit(True).alias("a")), "left", "left").join(right_known.select(F.col("key").alias("right"), F.lit(True).alias("b")), "right", "left")
