@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -302,11 +303,12 @@ def test_decontamination(docs_of, spark):
         got = decontam.scan(docs, bench, limit=limit)
         by = {r.doc_id: r for r in got.collect()}
         assert got.count() == len(rows) + 2
-        assert {i for i, r in by.items() if r.contaminated and i is not None} == {4, 5, 10, 11, 12, 13, 30}
+        # Document 2 is the whole of item 4, which is too short for q-grams.
+        assert {i for i, r in by.items() if r.contaminated and i is not None} == {2, 4, 5, 10, 11, 12, 13, 30}
         assert by[30].item_ids == [1, 5] and by[4].item_ids == [1]
     clean = decontam.clean(docs, bench)
     assert clean.schema.names == docs.schema.names
-    assert {r.doc_id for r in clean.collect()} == {0, 1, 2, 3, 6}
+    assert {r.doc_id for r in clean.collect()} == {0, 1, 3, 6}
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.scan(docs, none).where("contaminated").count() == 0 and decontam.clean(docs, none).count() == docs.count()
     assert decontam.scan(docs_of([]), bench).count() == 0
@@ -337,7 +339,7 @@ def test_q_gram_filter_loses_no_alignment():
         normal = decontam._normal(plain, np.array([0, len(plain)]))[0].tobytes()
         want = {i for i, _ in items if least_edits(ix.patterns[i].tobytes(), normal) <= ix.edits[i]}
         found = decontam.hits(pa.array(["pad", text]), ix)
-        assert {ix.items[h[1]] for h in found} == want
+        assert {h[1] for h in found} == want
         hit += bool(want)
     assert hit > 15
 
@@ -348,3 +350,23 @@ def test_q_gram_filter_ignores_case_of_accented_letters():
     item = "La éai éonleeau pour à éonqueê aivi çai þenaitreo × oiaux éoiré anvitre"
     ix = decontam.index([(7, item)])
     assert [h[0] for h in decontam.hits(pa.array(["", item.upper(), "à" * 80, item]), ix)] == [1, 3]
+
+
+def test_decontamination_is_the_same_for_any_number_of_blocks(docs_of, spark):
+    bench = spark.createDataFrame([*BENCH, (6, "Stone bridge"), (7, BENCH[0][1]), (8, "!!")], "item_id long, text string")
+    hit = "xx " + BENCH[0][1] + " yy " + BENCH[4][1]
+    rows = [(1, hit), (1, hit), (None, hit), (None, hit), (2, "a stone BRIDGE stood"), (3, "gravestone bridge"), (3, "stone bridges"), (4, "Short."), (5, None), (6, "!!"), (None, None)]
+    docs = docs_of(rows, CLASH)
+    one, many = ([tuple(r) for r in decontam.scan(docs, bench, limit=limit).collect()] for limit in (decontam.BLOCK, 40))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == len(rows)
+    assert Counter((r[0], tuple(r[2])) for r in one) == Counter({(1, (1, 5, 6, 7)): 2, (None, (1, 5, 6, 7)): 2, (2, (6,)): 1, (3, ()): 2, (4, (4,)): 1, (5, ()): 1, (6, ()): 1, (None, ()): 1})
+    kept = lambda limit: Counter(r.doc_id for r in decontam.clean(docs, bench, limit=limit).collect())
+    assert kept(40) == kept(decontam.BLOCK) == Counter({3: 2, 5: 1, 6: 1, None: 1})
+
+
+def test_capitals_of_all_scripts_are_folded():
+    words = "ŁÓDŹ ДОМ ΑΒΓ ẠẢ Ⴀ 𐐀 ÀÞ× İ ẞ ß"
+    data = np.frombuffer(words.encode(), np.uint8)
+    got = decontam._normal(data, np.array([0, len(data)]))[0].tobytes().decode()
+    want = "".join(c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) else c for c in words)
+    assert got == want != words

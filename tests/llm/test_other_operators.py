@@ -162,3 +162,32 @@ def test_registered_queries_cover_their_tables(name, spark, data):
     key = "page_id" if table == "pages" else "doc_id"
     assert {r[0] for r in df.select(key).collect()} == {r[0] for r in spark.read.parquet(f"{data}/{table}.parquet").select(key).collect()}
     assert len(set(df.columns)) == len(df.columns)
+
+
+def test_verdicts_of_classes_match_brute_force(spark):
+    """Union-find over the URLs of pages and their links, spelt in several ways."""
+    rng = random.Random(3)
+    hosts = ["a.example.com", "b.example.com", "x.example.net", "y.example.net", "z.example.org", "neutral.example.info", "other.example.info"]
+    urls_ = [f"http://{h}/{lang}/{n}" for h in hosts for lang in ("en", "de", "es", "fr") for n in (7, 8, 9)]
+    pages, links = [], []
+    for i, u in enumerate(urls_):
+        html = "<p>x</p>"
+        if rng.random() < 0.3:
+            v = rng.choice(urls_)
+            links.append((u, v))
+            host, _, tail = v.removeprefix("http://").partition("/")
+            spelt = f"HTTP://{host.upper()}/{tail}#part"
+            html += rng.choice([f'<link rel="nofollow CANONICAL" href="{spelt}">', f"<meta http-equiv=refresh content=\"3; URL='{v}?utm_source=q&amp;ref=z'\">", f"<meta property='og:url' content='{spelt}'>"])
+        pages.append((i, u, html))
+    root = {u: u for u in urls_}
+    find = lambda u: u if root[u] == u else find(root[u])
+    for u, v in links:
+        root[find(u)] = find(v)
+    rules = {u: plain_rule(*plain_parts(u)) for u in urls_}
+    want = {}
+    for i, u, _ in pages:
+        members = [rules[v][1] for v in urls_ if find(v) == find(u)]
+        want[i] = rules[u][1] or ("allow" if "allow" in members or "block" not in members else "block")
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert sum(rules[u][0] is None and want[i] == "block" for i, u, _ in pages) >= 3

@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised: A-Z and the Latin-1 capitals lower-cased, every run of
-ASCII characters that are neither letters nor digits is one space.  A benchmark item of m bytes occurs in
+Texts are normalised: capitals become small letters where both have as many
+bytes, every run of ASCII characters that are neither letters nor digits is one
+space.  A benchmark item of m bytes occurs in
 a text with at most e edits only if they share ``m - q + 1 - q * e`` q-grams
 whose diagonals (text place minus item place) span no more than e.  So
 
@@ -13,13 +14,16 @@ whose diagonals (text place minus item place) span no more than e.  So
 3. bands that meet their item's bound are verified by banded alignment with
    free ends in the text.
 
-Items longer than ``SEGMENT`` bytes are used in overlapping segments; items
-with fewer than ``LEAST`` bytes after normalising are no evidence and unused.
-Items are broadcast in blocks of at most ``BLOCK`` bytes of text, each block one
-pass, so the benchmark may grow without a larger broadcast.
+Items longer than ``SEGMENT`` bytes are used in overlapping segments.  Items with
+fewer than ``least`` bytes after normalising are too short for edits: those of
+``Q`` bytes or more count where they stand exactly, as whole words; shorter ones
+where they are the whole text.  Items without a letter or digit match nothing.
+Items are broadcast in blocks of about ``BLOCK`` bytes of text, each block one
+pass, so the benchmark may grow without a larger broadcast; what the passes find
+is joined by document, and the result is the same for any number of blocks.
 
 Defined cases: null and empty texts and null items match nothing; an empty
-benchmark leaves every document clean; repeated rows are judged alike; columns
+benchmark leaves every document clean; items that repeat are found once each; repeated rows are judged alike; columns
 other than id and text are not read (``clean`` returns them unchanged).
 """
 
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +45,35 @@ BLOCK = 4_000_000
 _FOLD = A.LOWER.copy()
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
 _U = np.uint64
+#: First bytes of characters of 2, 3 and 4 bytes; the last up to U+1FFFF.
+_LEADS = {2: (0xC2, 0xDF), 3: (0xE0, 0xEF), 4: (0xF0, 0xF0)}
+
+
+@lru_cache(maxsize=3)
+def _small(size: int) -> np.ndarray:
+    """The small letter of every code point of ``size`` bytes, or the point itself where that has another length."""
+    end = {2: 0x800, 3: 0x10000, 4: 0x20000}[size]
+    out = np.arange(end)
+    for c in range(end // 32 if size > 2 else 0x80, end):
+        low = chr(c).lower()
+        if len(low) == 1 and low != chr(c) and not 0xD800 <= c < 0xE000 and len(low.encode()) == size:
+            out[c] = ord(low)
+    return out
 
 
 def _normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised bytes, row offsets, and the place of each byte in ``data``."""
     x = _FOLD[data]
-    # U+00C0 to U+00DE, but for the multiplication sign, are C3 80 to C3 9E.
-    x[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
+    for size, (first, last) in _LEADS.items():
+        lead = np.flatnonzero((data >= first) & (data <= last))
+        if len(lead):
+            points = np.zeros(len(lead), np.int64)
+            for i in range(size):
+                points = points << 6 | (data[lead + i] & (0x7F >> size if i == 0 else 0x3F))
+            small = _small(size)[points]
+            for i in range(size - 1, -1, -1):
+                x[lead + i] = (0x80 | (small & 0x3F)) if i else (0xFF00 >> size & 0xFF | small)
+                small = small >> 6
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
     at = np.flatnonzero(keep)
@@ -79,22 +106,27 @@ class Index:
     of: np.ndarray  # pattern
     place: np.ndarray
     bitmap: np.ndarray
+    whole: np.ndarray  # patterns that must stand as whole words
+    tiny: dict[bytes, list]  # items that must be the whole text
 
 
-def index(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Index:
-    items, patterns = [], []
+def index(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST) -> Index:
+    items, patterns, tiny = [], [], {}
     for item, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         x = _normal(data, np.array([0, len(data)]))[0]
         x = x[(x[:1] == 32).sum() : len(x) - int(len(x) > 0 and x[-1] == 32)]
-        if len(x) < LEAST:
+        if len(x) < Q:
+            if len(x):
+                tiny.setdefault(x.tobytes(), []).append(item)
             continue
         starts = [0] if len(x) <= SEGMENT else [*range(0, len(x) - SEGMENT, SEGMENT // 2), len(x) - SEGMENT]
         for s in starts:
             items.append(item)
             patterns.append(x[s : s + SEGMENT])
     sizes = np.array([len(p) for p in patterns], np.int64)
-    edits = np.minimum((sizes * rate).astype(np.int64), (sizes - Q) // Q)
+    whole = sizes < least
+    edits = np.where(whole, 0, np.minimum((sizes * rate).astype(np.int64), (sizes - Q) // Q))
     grams = [_grams(p) for p in patterns]
     key = np.concatenate(grams) if grams else np.empty(0, _U)
     of = np.repeat(np.arange(len(patterns)), [len(g) for g in grams])
@@ -103,7 +135,7 @@ def index(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Index:
     keys, first = np.unique(key[order], return_index=True)
     bitmap = np.zeros(1 << 24, bool)
     bitmap[_slot(keys)] = True
-    return Index(items, patterns, edits, sizes - Q + 1 - Q * edits, sizes, keys, np.append(first, len(key)), of[order], place[order], np.packbits(bitmap, bitorder="little"))
+    return Index(items, patterns, edits, sizes - Q + 1 - Q * edits, sizes, keys, np.append(first, len(key)), of[order], place[order], np.packbits(bitmap, bitorder="little"), whole, tiny)
 
 
 def align(text: np.ndarray, lows: np.ndarray, highs: np.ndarray, pattern: list[np.ndarray], diag: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +170,22 @@ def align(text: np.ndarray, lows: np.ndarray, highs: np.ndarray, pattern: list[n
 
 
 def hits(column: pa.Array, ix: Index) -> list[tuple[int, int, int, int, int]]:
-    """(row, pattern, start, end, edits) of verified regions, in bytes of the rows."""
+    """(row, item, start, end, edits) of verified regions, in bytes of the rows."""
     data, off = A.utf8(column)
-    if not len(ix.keys) or len(data) < Q:
-        return []
     x, noff, at = _normal(data, off)
+    out = []
+    if ix.tiny:
+        for row in np.flatnonzero(np.diff(noff) < Q + 2).tolist():
+            text = x[noff[row] : noff[row + 1]].tobytes()
+            for item in ix.tiny.get(text.strip(b" "), ()):
+                out.append((row, item, 0, int(off[row + 1] - off[row]), 0))
+    if len(ix.keys) and len(data) >= Q:
+        out += [(row, ix.items[p], s, e, k) for row, p, s, e, k in _regions(x, noff, at, off, ix)]
+    return out
+
+
+def _regions(x: np.ndarray, noff: np.ndarray, at: np.ndarray, off: np.ndarray, ix: Index) -> list[tuple[int, int, int, int, int]]:
+    """The same with patterns, by the q-gram lemma and alignment; x is normalised, ``at`` its places in the data."""
     g = _grams(x)
     if not len(g):
         return []
@@ -183,6 +226,10 @@ def hits(column: pa.Array, ix: Index) -> list[tuple[int, int, int, int, int]]:
         step = ix.edits[q] + 1
         best, end = align(x, noff[r[i : i + 256]], noff[r[i : i + 256] + 1], [ix.patterns[j] for j in q], b[i : i + 256] * step - SEGMENT, int(2 * step.max()))
         for row, j, e, z in zip(r[i : i + 256].tolist(), q.tolist(), best.tolist(), end.tolist(), strict=True):
+            if ix.whole[j] and e == 0:
+                s = z - int(ix.sizes[j])
+                if (s > noff[row] and x[s - 1] != 32) or (z < noff[row + 1] and x[z] != 32):
+                    continue
             if e <= ix.edits[j] and (row, j, z) not in seen:
                 seen.add((row, j, z))
                 s = max(int(noff[row]), z - int(ix.sizes[j]))
@@ -200,40 +247,48 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[list[tuple[int,
         yield [tuple(x) for x in part.orderBy("item_id").collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, limit: int = BLOCK) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, limit: int = BLOCK, least: int = LEAST) -> DataFrame:
     """One row per document: contaminated, item_ids (sorted), n_regions, and regions ``item:start:end:edits`` in bytes."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64())), ("n_regions", pa.int64()), ("regions", pa.string())])
-    fields = "doc_id long, contaminated boolean, item_ids array<long>, n_regions long, regions string"
-    passes = []
-    for block in blocks(benchmark, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(index(block, rate))
-
-        def rows(batches, shared=shared):
-            ix = shared.value
-            for b in A.pieces(batches):
-                of: list[list] = [[] for _ in range(b.num_rows)]
-                for row, p, s, e, k in hits(b["text"], ix):
-                    of[row].append((ix.items[p], s, e, k))
-                yield A.batch(schema, b["doc_id"], [bool(v) for v in of], [sorted({v[0] for v in x}) for x in of], [len(v) for v in of], [",".join(":".join(map(str, v)) for v in sorted(x)) for x in of])
-
-        passes.append(docs.mapInArrow(rows, fields))
-    if not passes:
-        return docs.select("doc_id", F.lit(False).alias("contaminated"), F.array().cast("array<bigint>").alias("item_ids"), F.lit(0).cast("long").alias("n_regions"), F.lit("").alias("regions"))
-    if len(passes) == 1:
-        return passes[0]
-    # Several blocks: what they found is joined by document; clean rows carry nothing.
-    found = passes[0]
-    for other in passes[1:]:
-        found = found.unionByName(other)
-    per = found.groupBy("doc_id").agg(F.bool_or("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_regions").alias("n_regions"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("regions") != "", F.col("regions")))), ",").alias("regions"))
-    return docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.coalesce("regions", F.lit("")).alias("regions"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, limit: int = BLOCK) -> DataFrame:
+    region = pa.struct([(c, pa.int64()) for c in ("item", "start", "end", "edits")])
+    kind = "array<struct<item:long,start:long,end:long,edits:long>>"
+
+    def found(batches, shared, keyed: bool):
+        for b in A.pieces(batches):
+            of: list[list] = [[] for _ in range(b.num_rows)]
+            for row, *what in hits(b["text"], shared.value):
+                of[row].append(dict(zip(("item", "start", "end", "edits"), what, strict=True)))
+            if keyed:
+                some = [i for i, v in enumerate(of) if v]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(some, pa.int64())), b["t"].take(pa.array(some, pa.int64())), pa.array([of[i] for i in some], pa.list_(region))], ["doc_id", "t", "found"])
+            else:
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(of, pa.list_(region))], ["doc_id", "found"])
+
+    parts = [docs.sparkSession.sparkContext.broadcast(index(block, rate, least)) for block in blocks(benchmark, limit)]
+    if not parts:
+        all_ = docs.select("doc_id", F.array().cast(kind).alias("found"))
+    elif len(parts) == 1:
+        all_ = docs.mapInArrow(lambda batches: found(batches, parts[0], False), f"doc_id long, found {kind}")
+    else:
+        # Each pass returns documents with a region only, named by id and text, so repeated rows and null ids keep theirs.
+        docs = docs.withColumn("t", F.xxhash64("text"))
+        each = [docs.mapInArrow(lambda batches, shared=shared: found(batches, shared, True), f"doc_id long, t long, found {kind}") for shared in parts]
+        rows = each[0]
+        for other in each[1:]:
+            rows = rows.unionByName(other)
+        per = rows.distinct().groupBy(F.col("doc_id").alias("id_"), F.col("t").alias("t_")).agg(F.flatten(F.collect_list("found")).alias("found"))
+        joined = docs.select("doc_id", "t").join(per, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")), "left")
+        all_ = joined.select("doc_id", F.coalesce("found", F.array().cast(kind)).alias("found"))
+    sorted_ = F.array_sort("found")
+    told = F.transform(sorted_, lambda r: F.concat_ws(":", r["item"], r["start"], r["end"], r["edits"]))
+    items = F.array_sort(F.array_distinct(F.transform("found", lambda r: r["item"])))
+    return all_.select("doc_id", (F.size("found") > 0).alias("contaminated"), items.alias("item_ids"), F.size("found").cast("long").alias("n_regions"), F.array_join(told, ",").alias("regions"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, limit: int = BLOCK, least: int = LEAST) -> DataFrame:
     """The documents in which no item occurs, with all their columns; one pass per block, no shuffle."""
     for block in blocks(benchmark, limit):
-        shared = docs.sparkSession.sparkContext.broadcast(index(block, rate))
+        shared = docs.sparkSession.sparkContext.broadcast(index(block, rate, least))
 
         def rows(batches, shared=shared):
             for b in A.pieces(batches):

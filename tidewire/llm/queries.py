@@ -56,13 +56,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
-    return suffix_dedup.remove(_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op9_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rlz_dedup
 
-    return rlz_dedup.remove(_table(spark, sf_dir, "documents"))
+    return rlz_dedup.remove(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,27 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op8_suffix_array, op9_relative_lz, op10_pii_bootstrap)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_suffix_array": """
+        WITH x AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        win AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 200)) AS s FROM x, unnest(range(0, length(h) // 2 - 99)) AS u(i)),
+        first AS (SELECT s, min({'d': doc_id, 'i': i}) AS f FROM win GROUP BY s),
+        hit AS (SELECT doc_id, i FROM win JOIN first USING (s) WHERE f.d < doc_id OR f.i < i),
+        runs AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS gap FROM hit),
+        groups AS (SELECT doc_id, i, sum(CASE WHEN gap > 0 OR gap = i + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM runs),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM groups GROUP BY doc_id, g),
+        lists AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, count(*) AS n, sum(z - a) AS gone FROM spans GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, n + 1), lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE z[k] END) + 1, 2 * ((CASE WHEN k = n THEN length(h) // 2 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE z[k] END)))), '') END)) AS kept_sha256
+        FROM x LEFT JOIN lists USING (doc_id)
+    """,
+    "op9_relative_lz": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM t, unnest(range(1, len(w) - 11)) AS u(i)),
+        first AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN first USING (s), unnest(range(0, 13)) AS v(k) WHERE f < doc_id),
+        words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t)
+        SELECT t.doc_id, count(x.p) AS n_words, count(g.p) AS n_removed, sha256(coalesce(string_agg(x.x, ' ' ORDER BY x.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
+        FROM t LEFT JOIN words x ON x.doc_id = t.doc_id LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY t.doc_id
+    """,
+}

@@ -43,8 +43,9 @@ def path(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Without the fragment and without tracking parameters."""
-    bare = F.regexp_replace(url, r"(?s)#.*$", "")
+    """Without the fragment and without tracking parameters; scheme and host in lower case."""
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    bare = F.regexp_replace(F.concat(F.translate(root, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.substring(url, F.length(root) + 1, F.length(url))), r"(?s)#.*$", "")
     rest = F.regexp_replace(bare, rf"(?<=[?&]){TRACKING}", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"\?&+", "?"), r"&{2,}", "&"), r"[?&]+$", "")
 
@@ -79,7 +80,9 @@ def _flat(path: Column) -> Column:
 
 def _absolute(target: Column, base: Column) -> Column:
     """``target`` as seen from the page ``base``; null for schemes without ``//``."""
-    target = F.trim(F.regexp_replace(target, "&amp;", "&"))
+    for entity, to in (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
+        target = F.replace(target, F.lit(entity), F.lit(to))
+    target = F.trim(target)
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
     own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
@@ -104,10 +107,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     goal = r"""(?is)url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"']\S*))"""
     refresh = lambda t: F.concat(*[F.regexp_extract(of(t, "content"), goal, i) for i in (1, 2, 3)])
     target = lambda t: (
-        F.when(F.lower(of(t, "rel")) == "canonical", of(t, "href")).when(F.lower(of(t, "http-equiv")) == "refresh", refresh(t)).when(F.lower(of(t, "property")) == "og:url", of(t, "content"))
+        F.when(F.array_contains(F.split(F.lower(of(t, "rel")), r"\s+"), "canonical"), of(t, "href")).when(F.lower(of(t, "http-equiv")) == "refresh", refresh(t)).when(F.lower(of(t, "property")) == "og:url", of(t, "content"))
     )
     usable = pages.where(F.col("url").contains("://"))
-    linked = usable.select("url", F.explode(F.transform(tags, target)).alias("target")).where("target <> ''").select(F.col("url").alias("a"), _absolute(F.col("target"), F.col("url")).alias("b"))
+    linked = usable.select("url", F.explode(F.transform(tags, target)).alias("target")).where("target <> ''").select(F.col("url").alias("a"), canonical(_absolute(F.col("target"), F.col("url"))).alias("b"))
     return linked.unionByName(usable.select(F.col("url").alias("a"), canonical(F.col("url")).alias("b"))).where("b IS NOT NULL AND a <> b").distinct()
 
 
