@@ -1,4 +1,4 @@
 """Queries over the news domain, by module."""
 
-from . import analytics, relational, scalars, stories  # noqa: F401
+from . import analytics, relational, scalars, service, stories  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
