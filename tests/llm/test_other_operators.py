@@ -2,12 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidewire.llm import packing, urls
+from tidewire.llm import packing, queries, urls
 
 
 def plain_rule(host, path):
@@ -191,3 +192,23 @@ def test_verdicts_of_classes_match_brute_force(spark):
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == want
     assert sum(rules[u][0] is None and want[i] == "block" for i, u, _ in pages) >= 3
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracles_agree(name, spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    found = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(found.fetchall()) == sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, data).collect())
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, "x"), (1, ""), (2, " \n "), (3, None)]])
+def test_pipeline_takes_odd_and_empty_tables(rows, docs_of, spark, tmp_path):
+    prose = [f"This is plain prose number {i} with words such as {' '.join(f'w{i}x{k}' for k in range(40))}." for i in range(4)]
+    more = [(10, prose[0]), (11, prose[0]), (11, prose[0]), (None, prose[1])] if rows else []
+    docs_of([*rows, *more]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == ({10, None} if rows else set())
