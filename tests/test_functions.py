@@ -14,6 +14,7 @@ from tidewire.operators import archive as A
 from tidewire.operators import evaluation as V
 from tidewire.operators import feedback as B
 from tidewire.operators import grouping as G
+from tidewire.operators.components import components
 from tidewire.operators import relational as R
 from tidewire.sources import feeds
 from tidewire.streaming import ingest as I
@@ -207,6 +208,46 @@ def test_clusters_do_not_depend_on_row_order(spark):
     assert a == b and a[4] == 4 and a[2] == 2 and a[0] == a[1]
 
 
+def test_rounds_of_mutual_best_pairs_equal_the_greedy_order(spark):
+    import random
+
+    rng = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    stories, edges, want = [], [], {}
+    for topic, n, share in (("dense", 12, 0.8), ("half", 12, 0.5), ("chain", 6, 0)):
+        places = [rng.choice([None, *range(n // 2)]) for _ in range(n)]
+        stories += [(topic, i, None if p is None else t0 + dt.timedelta(hours=p)) for i, p in enumerate(places)]
+        own = [(i, j, rng.choice([0.1, 0.2, 0.3, 0.9])) for i in range(n) for j in range(i + 1, n) if rng.random() < share]
+        own = own or [(i, i + 1, 1 - i / 100) for i in range(n - 1)]
+        edges += [(topic, *e) for e in own]
+        order = sorted(range(n), key=lambda i: (places[i] is None, places[i] or 0, i))
+        want |= {(topic, k): v for k, v in G.link(order, own).items()}
+    s = spark.createDataFrame(stories, "topic string, story long, place timestamp")
+    e = spark.createDataFrame(edges, "topic string, left long, right long, signature double")
+    for fold in (0, 40):
+        assert {(r.topic, r.story): r.cluster for r in G.clusters(s, e, fold).collect()} == want
+    assert G.clusters(s.limit(0), e.limit(0)).count() == 0
+
+
+def test_blocks_do_not_depend_on_the_tile(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"t{i % 2}", i, rng.sample("abcdefghij", rng.randrange(6)), rng.sample("klmnopqrst", rng.randrange(6))) for i in range(40)]
+    s = spark.createDataFrame(rows, "topic string, story long, words array<string>, phrases array<string>")
+    seen = [sorted(tuple(r) for r in G.scored(s, 0.15, tile).collect()) for tile in (3, 512)]
+    assert seen[0] == seen[1] and seen[0]
+    met = [sorted(tuple(r) for r in G.walked(s, 0.15, tile).collect()) for tile in (3, 512)]
+    assert met[0] == met[1] and sum(n for _, n in met[0]) >= len(seen[0])
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 430)] + [(430, 7), (500, 500), (None, 3), (7, 0)]
+    for salts in (1, 7):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), salts=salts).collect()}
+        assert got == {i: 0 for i in [*range(300), *range(400, 431)]} | {500: 500}
+
+
 def test_candidates_lose_no_pair(spark):
     import random
 
@@ -258,6 +299,26 @@ def test_assignment_widens_ranges(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_assignment_by_pieces_equals_one_pass(spark):
+    import random
+
+    rng = random.Random(2)
+    hours = [rng.randrange(400) for _ in range(80)]
+    pairs = [(i, j, rng.choice([0.2, 0.4])) for i in range(80) for j in range(i + 1, 80) if rng.random() < 0.08]
+    score = {frozenset(p[:2]): p[2] for p in pairs}
+    want, last = {}, {}
+    for i in sorted(range(80), key=lambda i: (hours[i], i)):
+        near = [(score[frozenset((i, f))], last[f], -f) for f in last if frozenset((i, f)) in score and hours[f] >= hours[i] - 72]
+        want[i] = -max(near)[2] if near else i
+        last[want[i]] = hours[i]
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("k", i, t0 + dt.timedelta(hours=h)) for i, h in enumerate(hours)] + [("k", 99, None), ("z", 1, t0)]
+    arts = spark.createDataFrame(rows, "topic string, article long, at timestamp")
+    links = spark.createDataFrame([("k", *p) for p in pairs] + [("k", 0, 99, 0.9)], "topic string, left long, right long, score double")
+    got = {(r.topic, r.article): r.story for r in I.assign(arts, links, "topic").collect()}
+    assert got == {("k", i): v for i, v in want.items()} | {("k", 99): 99, ("z", 1): 1}
+
+
 def names_of(text, lex=E.DEFAULT):
     return {key: (name, kind) for key, name, kind, _ in E.Reader(lex).read(text)}
 

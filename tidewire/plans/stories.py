@@ -176,7 +176,7 @@ def grp_03_pricing(t) -> DataFrame:
     """How many pairs a topic has, how many are walked, and how many clear the signature floor."""
     s = stories(t)
     n = s.groupBy("topic").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("pairs"))
-    walked = G.candidates(s, C.SIGNATURE_FLOOR).groupBy("topic").agg(F.count("*").alias("walked"))
+    walked = G.walked(s, C.SIGNATURE_FLOOR)
     clear = G.scored(s).groupBy("topic").agg(F.count("*").alias("cleared"))
     return n.join(walked, "topic", "left").join(clear, "topic", "left").select("topic", "pairs", F.coalesce("walked", F.lit(0)).alias("walked"), F.coalesce("cleared", F.lit(0)).alias("cleared"))
 

@@ -1,8 +1,10 @@
-"""Spark sessions for the engine."""
+"""Spark sessions for the engine, and where lineage is cut."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "tidewire", cores: int | None = None, **conf: str) -> SparkSession:
@@ -13,3 +15,20 @@ def build(app: str = "tidewire", cores: int | None = None, **conf: str) -> Spark
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; one of this machine only on a local master that names none, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set, and the folders of this machine are not shared")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
