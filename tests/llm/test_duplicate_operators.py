@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidewire.llm import components, decontam, repeats, rlz_dedup, simhash, suffix_dedup, suffixes
+from tidewire.llm import decontam, repeats, rlz_dedup, simhash, suffix_dedup, suffixes
+from tidewire.operators.components import components
 
 CLASH = (("fp", 1), ("rep", 2), ("h", 3), ("gone", "x"), ("open", "y"), ("kept", 1))
 
@@ -263,7 +264,7 @@ def test_tiles_split_large_buckets(spark):
     fps = [int(x) for x in rng.integers(0, 1 << 10, 60)]
     fps = sorted(set(fps))
     classes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
-    got = {r.node: r.root for r in components.components(simhash.links(classes, 4, 5)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(classes, 4, 5)).collect()}
     root = list(range(len(fps)))
     for _ in fps:
         for i, a in enumerate(fps):
@@ -275,9 +276,9 @@ def test_tiles_split_large_buckets(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3), (300, 41)] + [(500, 501 + i) for i in range(30)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and got[200] == 200 and got[300] == 41 and got[530] == 500
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 BENCH = [(1, "The quick brown fox jumps over the lazy dog while seven wizards watch."), (2, None), (3, ""), (4, "short"), (5, "In which year did the river reach its highest mark at the old stone bridge?")]

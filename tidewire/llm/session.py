@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..session import checkpoint, shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of this machine only on a local master that names none, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set, and the folders of this machine are not shared")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint", "stored"]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a columnar table in the shared folder; smaller than a checkpoint, and read column by column."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
