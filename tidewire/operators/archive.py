@@ -37,7 +37,7 @@ def search(items: DataFrame, topics: DataFrame, since=None, start=None, end=None
 
     ``since`` is the retention bound; snapshots are exempt from it.
     """
-    owned = items.join(F.broadcast(topics.select("topic_id")), "topic_id", "left_semi")
+    owned = items.join(topics.select("topic_id"), "topic_id", "left_semi")
     kept = all_of(
         [
             None if since is None else (F.col("kind") == "snapshot") | (F.col("created_at") >= since),
@@ -57,7 +57,7 @@ def search(items: DataFrame, topics: DataFrame, since=None, start=None, end=None
 
 def facets(items: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics, sources and entities that occur in the owned items."""
-    owned = items.join(F.broadcast(topics.select("topic_id")), "topic_id", "left_semi")
+    owned = items.join(topics.select("topic_id"), "topic_id", "left_semi")
     of = lambda kind, c: owned.select(F.lit(kind).alias("facet"), c.alias("value")).select("facet", F.col("value").cast("string")).distinct()
     return of("topic", F.col("topic_id")).unionByName(of("source", F.explode("source_ids"))).unionByName(of("entity", F.explode("entity_ids")))
 

@@ -67,7 +67,7 @@ def rollup_volume(series: DataFrame) -> DataFrame:
 
 def rollup_entities(ranked_entities: DataFrame, order: DataFrame, topic: str, entity: str) -> DataFrame:
     """Each entity once, from the topic where it rose most (the first topic of equal lifts); ``place`` follows first sight over topics in ``order`` (topic, ord)."""
-    seen = ranked_entities.join(F.broadcast(order), topic)
+    seen = ranked_entities.join(order, topic)
     first = F.min(F.struct("ord", "place")).over(Window.partitionBy(entity))
     best = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("lift"), "ord"))
     return seen.withColumn("first", first).withColumn("_n", best).where("_n = 1").drop("_n", "place", "ord").withColumn("first_ord", F.col("first.ord")).withColumn("first_place", F.col("first.place")).drop("first")

@@ -101,7 +101,7 @@ def trd_08_09_stored_or_measured(t) -> DataFrame:
     measured = filled(t).groupBy("topic_id").agg(F.sum("articles").alias("articles"), F.count("*").alias("days"))
     stored = measured.where("topic_id % 2 = 0")
     missing = t.topics.join(stored, "topic_id", "left_anti").select("topic_id")
-    return stored.unionByName(measured.join(F.broadcast(missing), "topic_id", "left_semi"))
+    return stored.unionByName(measured.join(missing, "topic_id", "left_semi"))
 
 
 @query("SELECT topic_id, max(articles) AS peak, count(*) AS points FROM filled GROUP BY 1", f"{VOLUME}, {AXIS}")
@@ -257,7 +257,7 @@ def dsc_04_recommendations(t) -> DataFrame:
     own = owned(t)
     mine = own.where("topic_id = 1").select("entity_id").distinct()
     held = t.spark.createDataFrame([(1,), (4,)], "topic_id long")
-    return own.join(F.broadcast(held), "topic_id", "left_anti").join(mine, "entity_id", "left_semi").groupBy(F.col("topic_id").alias("template_id")).agg(F.countDistinct("entity_id").alias("score"))
+    return own.join(held, "topic_id", "left_anti").join(mine, "entity_id", "left_semi").groupBy(F.col("topic_id").alias("template_id")).agg(F.countDistinct("entity_id").alias("score"))
 
 
 @query("SELECT s.topic_id, CAST(sum(v.n) AS BIGINT) AS mentions FROM topic_sources s JOIN (SELECT source_id, count(*) AS n FROM articles, clock WHERE published_at >= now - INTERVAL 37 DAY AND published_at < now GROUP BY 1) v ON v.source_id = s.source_id GROUP BY 1")
@@ -268,7 +268,7 @@ def dsc_05_trending(t) -> DataFrame:
 @query("SELECT topic_id, title, 2 < 3 AS can_clone FROM topics WHERE topic_id NOT IN (0, 2)")
 def dsc_06_directory(t) -> DataFrame:
     held = t.spark.createDataFrame([(0,), (2,)], "topic_id long")
-    return t.topics.join(F.broadcast(held), "topic_id", "left_anti").select("topic_id", "title", (F.lit(2) < F.lit(C.FREE_TOPICS)).alias("can_clone"))
+    return t.topics.join(held, "topic_id", "left_anti").select("topic_id", "title", (F.lit(2) < F.lit(C.FREE_TOPICS)).alias("can_clone"))
 
 
 @query("SELECT user_id, greatest(0, count(DISTINCT topic) - 3) AS over_cap FROM ev GROUP BY 1")

@@ -110,7 +110,7 @@ def fil_01_optional_conjunction(t) -> DataFrame:
 @query("SELECT article_id FROM articles WHERE source_id IN (2, 5, 7) AND priority NOT IN ('5-LOW', '2-HIGH')")
 def fil_02_in_and_not_in(t) -> DataFrame:
     banned = t.spark.createDataFrame([("5-LOW",), ("2-HIGH",)], "priority string")
-    return t.articles.where(F.col("source_id").isin(2, 5, 7)).join(F.broadcast(banned), "priority", "left_anti").select("article_id")
+    return t.articles.where(F.col("source_id").isin(2, 5, 7)).join(banned, "priority", "left_anti").select("article_id")
 
 
 @query("SELECT article_id FROM articles WHERE published_at >= TIMESTAMP '1998-01-01' AND published_at < TIMESTAMP '1998-02-01'")
@@ -264,7 +264,7 @@ def join_10_cluster_entities(t) -> DataFrame:
 def join_11_composite_lookup(t) -> DataFrame:
     wanted = t.spark.createDataFrame([("NATION_3", 7), ("NATION_11", 42)], "source_name string, tail long")
     named = t.articles.join(R.small(t.topic_sources), "source_id").withColumn("tail", F.col("article_id") % 100)
-    return named.join(F.broadcast(wanted), ["source_name", "tail"]).select("source_name", "article_id", "story_id")
+    return named.join(wanted, ["source_name", "tail"]).select("source_name", "article_id", "story_id")
 
 
 @query("SELECT a.article_id, count(*) AS n, string_agg(e.canonical_name, '|' ORDER BY e.canonical_name) AS names FROM articles a JOIN article_entities ae ON ae.article_id = a.article_id JOIN entities e ON e.entity_id = ae.entity_id GROUP BY 1")

@@ -203,7 +203,7 @@ def grp_09_10_summaries(t) -> DataFrame:
     head = ranked.where("r = 1").select("source", "title", F.coalesce(F.try_element_at("s", F.lit(1)), "title").alias("one_liner"))
     said = F.array(T.normalize(F.col("one_liner")), T.normalize(F.col("title")))
     first = ranked.select("source", "r", F.posexplode(F.concat("s", F.array(F.col("title").alias("title")))).alias("i", "bullet"))
-    fresh = first.join(F.broadcast(head), "source").withColumn("key", T.normalize(F.col("bullet"))).where(~F.array_contains(said, F.col("key")))
+    fresh = first.join(head, "source").withColumn("key", T.normalize(F.col("bullet"))).where(~F.array_contains(said, F.col("key")))
     once = fresh.groupBy("source", "key").agg(F.min_by(F.struct("r", "i", "bullet"), F.struct("r", "i")).alias("b"))
     per = once.groupBy("source", F.col("b.r").alias("r")).agg(F.min_by("b.bullet", "b.i").alias("bullet"))
     top = per.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("r"))).where(F.col("n") <= C.MOST_BULLETS)
@@ -220,7 +220,7 @@ def grp_12_archive_excluding(t) -> DataFrame:
 @query("SELECT a.priority || '-' || CAST(a.source_id AS VARCHAR) AS cluster_id, count(*) AS articles FROM articles a WHERE a.source_id IN (SELECT source_id FROM topic_sources WHERE topic_id = 1) GROUP BY 1")
 def grp_13_cluster_articles(t) -> DataFrame:
     followed = t.topic_sources.where("topic_id = 1").select("source_id")
-    return t.articles.join(F.broadcast(followed), "source_id", "left_semi").groupBy(F.concat("priority", F.lit("-"), F.col("source_id").cast("string")).alias("cluster_id")).agg(F.count("*").alias("articles"))
+    return t.articles.join(followed, "source_id", "left_semi").groupBy(F.concat("priority", F.lit("-"), F.col("source_id").cast("string")).alias("cluster_id")).agg(F.count("*").alias("articles"))
 
 
 @query("SELECT priority, article_id, n AS place FROM (SELECT priority, article_id, row_number() OVER (PARTITION BY priority ORDER BY c DESC, published_at DESC, a.article_id) AS n FROM articles a LEFT JOIN (SELECT article_id AS aid, count(*) AS c FROM article_entities GROUP BY 1) e ON e.aid = a.article_id WHERE c IS NOT NULL) WHERE n <= 20")

@@ -108,7 +108,7 @@ class Tables:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return self.articles.join(F.broadcast(self.topic_sources), "source_id").groupBy(F.concat("priority", F.lit("-"), F.col("source_id").cast("string")).alias("cluster_id"), "topic_id").agg(
+        return self.articles.join(self.topic_sources, "source_id").groupBy(F.concat("priority", F.lit("-"), F.col("source_id").cast("string")).alias("cluster_id"), "topic_id").agg(
             F.min("published_at").alias("created_at"), F.max("published_at").alias("last_seen_at"), F.count("*").alias("article_count"), F.when(F.count("*") % 3 == 0, "archive").otherwise("active").alias("state")
         )
 
