@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, with production parameters."""
+"""The operators as queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -71,7 +71,13 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op8_suffix_array, op9_relative_lz, op10_pii_bootstrap)}
+def op13_walsh_hadamard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import filter_audit
+
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op8_suffix_array, op9_relative_lz, op10_pii_bootstrap, op13_walsh_hadamard_audit)}
 
 ORACLE: dict[str, str] = {
     "op8_suffix_array": """
@@ -96,4 +102,20 @@ ORACLE: dict[str, str] = {
         SELECT t.doc_id, count(x.p) AS n_words, count(g.p) AS n_removed, sha256(coalesce(string_agg(x.x, ' ' ORDER BY x.p) FILTER (WHERE g.p IS NULL), '')) AS kept_sha256
         FROM t LEFT JOIN words x ON x.doc_id = t.doc_id LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY t.doc_id
     """,
+    "op13_walsh_hadamard_audit": r"""
+        WITH t AS (SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM documents d LEFT JOIN labels USING (doc_id)),
+        f AS (SELECT part, good, bad, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) AS c,
+                regexp_matches(text, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM t),
+        m AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS x FROM f GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        o AS (SELECT a.c || b.c || c.c || d.c || e.c AS s FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+        p AS (SELECT s, k AS step, 1 << (ascii(s[k]) - 65) AS bit, coalesce(list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(s[j]) - 65))), 0)::INT AS before FROM o, unnest(range(1, 6)) AS u(k))
+        SELECT part, s AS filter_order, step::INT AS step,
+            coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+            coalesce(sum(g) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (WHERE mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+            coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & bit > 0), 0)::BIGINT AS shapley
+        FROM m, p GROUP BY ALL
+    """,
 }
