@@ -77,13 +77,19 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(_table(spark, sf_dir, "documents"))
 
 
+def op12_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_walsh_hadamard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import filter_audit
 
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op8_suffix_array, op9_relative_lz, op10_pii_bootstrap, op11_token_alignment, op13_walsh_hadamard_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_toxicity_crf, op3_url_redirects, op4_best_fit_packing, op5_quality_lines, op6_simhash_bitsliced, op7_secret_scan, op8_suffix_array, op9_relative_lz, op10_pii_bootstrap, op11_token_alignment, op12_dom_boosting, op13_walsh_hadamard_audit)}
 
 ORACLE: dict[str, str] = {
     "op8_suffix_array": """
