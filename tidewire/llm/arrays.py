@@ -26,9 +26,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+#: Polynomials over the integers modulo the prime 2^61 - 1.  Unlike modulo a power of two, no two strings collide for every base: a pair of n symbols collides for at most n of the 2^61 bases.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = _U(PRIME), _U((1 << 31) - 1), _U((1 << 30) - 1)
+_BASES = tuple(int(x) for x in np.random.default_rng(20240229).integers(1 << 50, PRIME, 2, dtype=np.int64))
+_RUN = 1 << 24  # terms of 39 bits that are summed before they are reduced
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,29 +95,105 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, _U), np.full(size, _INVERSE, _U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _fold(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo PRIME."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n + 1).bit_length())
-    return _powers(size)
+def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """``high * 2^31 + low`` modulo PRIME."""
+    high = _fold(high)
+    return _fold(((high & _LOW30) << _U(31)) + (high >> _U(30)) + _fold(low))
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it."""
+    a1, a0, b1, b0 = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _fold((a1 * b1 << _U(1)) + (mid >> _U(30)) + ((mid & _LOW30) << _U(31)) + a0 * b0)
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASES[which], pow(_BASES[which], -1, PRIME)):
+        v = np.ones(1, _U)
+        while len(v) < size:
+            v = np.concatenate([v, mulmod(v, np.full(len(v), pow(base, len(v), PRIME), _U))])
+        out.append(v)
+    return out[0], out[1]
+
+
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME, at least n."""
+    return _powers(1 << max(16, int(n + 1).bit_length()), which)
+
+
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sums of ``values[i] * base^i`` modulo PRIME, one more than values; values are 64-bit."""
+    term = mulmod(_fold(values), powers(len(values), which)[0][: len(values)])
+    sums = np.zeros(len(values) + 1, _U)
+    sums[1:] = _joined(np.cumsum(term >> _U(31)), np.cumsum(term & _LOW31))
+    return sums
 
 
 class Hasher:
-    """64-bit hashes of any byte ranges of ``data`` after one pass over it."""
+    """64-bit hashes of any byte ranges of ``data`` after one pass over it; ``which`` of two independent bases."""
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(len(data))
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = powers(len(data), which)
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_TABLE[data] * self.up[: len(data)], out=self.sums[1:])
+        for i in range(0, len(data), _RUN):
+            v, u = data[i : i + _RUN].astype(_U) + _U(1), up[i : i + min(_RUN, len(data) - i)]
+            self.sums[i + 1 : i + 1 + len(v)] = _fold(_joined(np.cumsum(v * (u >> _U(31))), np.cumsum(v * (u & _LOW31))) + self.sums[i])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        return span_hash(self.sums, self.down, starts, ends)
+
+
+def span_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges from their prefix sums, independent of where they stand."""
+    h = mulmod(_fold(sums[ends] + (_P - sums[starts])), down[starts])
+    return mix(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal exactly for equal words: a hash proposes, bytes decide."""
+    codes = np.unique(Hasher(data).ranges(starts, ends), return_inverse=True)[1].astype(np.int64)
+    if not len(codes):
+        return codes
+    first = np.full(int(codes.max()) + 1, -1)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    model, size = first[codes], ends - starts
+    wrong = size != size[model]
+    check = np.flatnonzero(~wrong & (model != np.arange(len(codes))))
+    n = size[check]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    same = data[np.repeat(starts[check], n) + step] == data[np.repeat(starts[model[check]], n) + step]
+    wrong[check[np.repeat(np.arange(len(check)), n)[~same]]] = True
+    if wrong.any():
+        seen: dict[bytes, int] = {}
+        raw, words = data.tobytes(), np.flatnonzero(np.isin(codes, codes[wrong]))
+        for i in words.tolist():
+            codes[i] = len(first) + seen.setdefault(raw[starts[i] : ends[i]], len(seen))
+    return codes
+
+
+def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` consecutive codes, equal exactly for equal runs: runs of twice the size are pairs."""
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64) if len(a) else a
+
+    if len(codes) < size:
+        return np.empty(0, np.int64)
+    out, have = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    while have < size:
+        step = min(have, size - have)
+        out = paired(out[: len(out) - step], out[step:])
+        have += step
+    return out
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:

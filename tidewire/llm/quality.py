@@ -56,13 +56,13 @@ def _measure(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     chars = (data & 0xC0) != 0x80
     word_chars = A.sums(chars & A.WORD[data], off)
     n_symbols = A.sums(SYMBOLS[data], off)
-    h = A.Hasher(data).ranges(starts, ends)
+    code = A.word_codes(data, starts, ends)
 
     again = np.zeros(len(starts), bool)
-    w = A.windows(h, WINDOW)
+    w = A.run_codes(code, WINDOW)
     if len(w):
         whole = np.flatnonzero(row[WINDOW - 1 :] == row[: len(w)])
-        key = A.mix(w[whole] ^ A.mix(row[whole].astype(np.uint64) + np.uint64(1)))
+        key = row[whole] * (int(w.max()) + 1) + w[whole]
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         twice = np.zeros(len(whole), bool)
@@ -109,10 +109,10 @@ def _measure(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     np.cumsum(chars, out=n_chars[1:])
     length = n_chars[line_to] - n_chars[line_from]
     line_of_word = np.repeat(np.arange(len(words)), words)
-    order = np.lexsort((h, line_of_word))
-    fresh = np.ones(len(h), bool)
-    if len(h) > 1:
-        fresh[1:] = (h[order][1:] != h[order][:-1]) | (line_of_word[order][1:] != line_of_word[order][:-1])
+    order = np.lexsort((code, line_of_word))
+    fresh = np.ones(len(code), bool)
+    if len(code) > 1:
+        fresh[1:] = (code[order][1:] != code[order][:-1]) | (line_of_word[order][1:] != line_of_word[order][:-1])
     distinct = np.bincount(line_of_word[order], fresh, len(words)) / np.maximum(1, words)
     covered = np.bincount(line_of_word, again, len(words)) / np.maximum(1, words)
     last = ends[w1 - 1] - 1 if len(words) else np.empty(0, np.int64)

@@ -3,8 +3,9 @@
 Shared by the suffix-array and the relative Lempel-Ziv operators; they differ in
 tokens, in what counts as earlier, and in how they decide what stays open here.
 
-1. Every document gives its anchors (see :mod:`anchors`), each with a hash of its
-   context.  Within a piece of a task, contexts seen earlier in the piece are
+1. Every document gives its anchors (see :mod:`anchors`), each with two hashes of
+   its context, by independent bases modulo a prime: together 122 bits decide that
+   two contexts are equal.  Within a piece of a task, contexts seen earlier in the piece are
    decided on the spot, so that copies and periodic texts leave the task once.
 2. Rows meet by anchor hash.  A context that another document (or place) has
    whole, and earlier, is decided.  A first context whose anchor has no other
@@ -56,24 +57,25 @@ class Kind:
 
 
 def _tokens(column: pa.Array, kind: Kind):
-    """Token offsets of rows, gram hashes by place, and a hash of any token range."""
+    """Token offsets of rows, gram hashes by place, and two independent hashes of any token range."""
     data, off = A.utf8(column)
-    hasher = A.Hasher(data)
+    hashers = [A.Hasher(data, which) for which in (0, 1)]
     if not kind.words:
         n = max(0, len(data) - kind.gram + 1)
         grams = np.zeros(len(data), np.uint64)
-        grams[:n] = A.mix((hasher.sums[kind.gram :] - hasher.sums[:n]) * hasher.down[:n]) if n else 0
-        return off, grams, hasher.ranges
+        at = np.arange(n)
+        grams[:n] = hashers[0].ranges(at, at + kind.gram)
+        return off, grams, lambda a, b: [x.ranges(a, b) for x in hashers]
     starts, ends, word_off = A.word_bounds(data, off)
-    h = hasher.ranges(starts, ends)
-    grams = np.zeros(len(h), np.uint64)
-    w = A.windows(h, kind.gram)
+    h = [x.ranges(starts, ends) for x in hashers]
+    grams = np.zeros(len(starts), np.uint64)
+    w = A.windows(h[0], kind.gram)
     grams[: len(w)] = w
-    total, down = sequence_sums(h)
-    return word_off, grams, lambda a, b: A.mix((total[b] - total[a]) * down[a])
+    sums = [sequence_sums(x, which) for which, x in enumerate(h)]
+    return word_off, grams, lambda a, b: [A.span_hash(*x, a, b) for x in sums]
 
 
-ROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("h", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("reps", pa.int32()), ("done", pa.bool_())])
+ROW = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("h", pa.int64()), ("ctx", pa.int64()), ("ctx2", pa.int64()), ("lo", pa.int64()), ("size", pa.int32()), ("reps", pa.int32()), ("done", pa.bool_())])
 
 
 def _joined(doc: np.ndarray, t: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,21 +105,21 @@ def _anchor_rows(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch | None:
     if not len(row):
         return None
     h = grams[x].view(np.int64)
-    ctx = N.context_hash(ranges(lo, hi + kind.window), x, lo, hi).view(np.int64)
+    ctx, ctx2 = (N.context_hash(v, x, lo, hi).view(np.int64) for v in ranges(lo, hi + kind.window))
     doc, t, size, at = np.asarray(ids)[row], np.asarray(b["t"])[row], hi - lo + 1, lo - off[row]
     # Runs of equal anchors that follow each other, as in periodic texts, are one row.
-    new = np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (row[1:] != row[:-1]) | (lo[1:] != hi[:-1] + 1))
+    new = np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1]) | (row[1:] != row[:-1]) | (lo[1:] != hi[:-1] + 1))
     first = np.flatnonzero(new)
     reps = np.diff(np.append(first, len(row)))
-    doc, t, h, ctx, at, size = (v[first] for v in (doc, t, h, ctx, at, size))
+    doc, t, h, ctx, ctx2, at, size = (v[first] for v in (doc, t, h, ctx, ctx2, at, size))
     done = []
     if not kind.other_document:
         many = reps > 1
         done.append((doc[many], t[many], (at + size)[many], (size * (reps - 1))[many]))
         reps = np.ones_like(reps)
-    order = np.lexsort((at, doc, ctx, h))
-    doc, t, h, ctx, at, size, reps = (v[order] for v in (doc, t, h, ctx, at, size, reps))
-    head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))
+    order = np.lexsort((at, doc, ctx2, ctx, h))
+    doc, t, h, ctx, ctx2, at, size, reps = (v[order] for v in (doc, t, h, ctx, ctx2, at, size, reps))
+    head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (ctx2[1:] != ctx2[:-1])))
     head = np.repeat(head, np.diff(np.append(head, len(doc))))
     later = doc > doc[head]
     if not kind.other_document:
@@ -127,7 +129,7 @@ def _anchor_rows(b: pa.RecordBatch, kind: Kind) -> pa.RecordBatch | None:
     open_ = ~later
     k = int(open_.sum())
     key = A.mix(A.mix(d.view(np.uint64)) ^ l.view(np.uint64)).view(np.int64)
-    return A.batch(ROW, np.append(doc[open_], d), np.append(t[open_], dt), np.append(h[open_], key), np.append(ctx[open_], np.zeros(len(d), np.int64)), np.append(at[open_], l), np.append(size[open_], n).astype(np.int32), np.append(reps[open_], np.ones(len(d), np.int64)).astype(np.int32), np.append(np.zeros(k, bool), np.ones(len(d), bool)))
+    return A.batch(ROW, np.append(doc[open_], d), np.append(t[open_], dt), np.append(h[open_], key), np.append(ctx[open_], np.zeros(len(d), np.int64)), np.append(ctx2[open_], np.zeros(len(d), np.int64)), np.append(at[open_], l), np.append(size[open_], n).astype(np.int32), np.append(reps[open_], np.ones(len(d), np.int64)).astype(np.int32), np.append(np.zeros(k, bool), np.ones(len(d), bool)))
 
 
 def _meet(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -138,14 +140,14 @@ def _meet(docs: DataFrame, kind: Kind) -> DataFrame:
             if (out := _anchor_rows(b, kind)) is not None:
                 yield out
 
-    found = docs.mapInArrow(rows, "doc_id long, t int, h long, ctx long, lo long, size int, reps int, done boolean").repartition("h")
-    same = Window.partitionBy("h", "ctx").orderBy("doc_id", "lo")
+    found = docs.mapInArrow(rows, "doc_id long, t int, h long, ctx long, ctx2 long, lo long, size int, reps int, done boolean").repartition("h")
+    same = Window.partitionBy("h", "ctx", "ctx2").orderBy("doc_id", "lo")
     anchor = Window.partitionBy("h")
     later = F.col("doc_id") > F.col("first.doc_id")
     if not kind.other_document:
         later = later | (F.col("lo") > F.col("first.lo")) & (F.col("doc_id") == F.col("first.doc_id"))
     judged = found.withColumn("first", F.first(F.struct("doc_id", "lo")).over(same)).withColumn("removed", F.col("done") | later)
-    met = judged.select("doc_id", "t", "h", "ctx", "lo", "size", "reps", "removed", (F.min("ctx").over(anchor) != F.max("ctx").over(anchor)).alias("several"), F.count(F.when(~F.col("removed"), 1)).over(anchor).alias("n"))
+    met = judged.select("doc_id", "t", "h", "ctx", "lo", "size", "reps", "removed", ((F.min("ctx").over(anchor) != F.max("ctx").over(anchor)) | (F.min("ctx2").over(anchor) != F.max("ctx2").over(anchor))).alias("several"), F.count(F.when(~F.col("removed"), 1)).over(anchor).alias("n"))
     return met.where("removed OR several").select("doc_id", "t", "h", "lo", "size", "reps", "removed", F.when(F.col("removed"), 0).otherwise(F.col("n")).alias("n"))
 
 
@@ -183,7 +185,7 @@ def _contexts(texts: DataFrame, kind: Kind, shard: int) -> DataFrame:
 #: Runs of n removed windows; or, of a dealt anchor h, one shard's sorted undecided windows in one range (``part``) of digests.
 RANGE = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("lo", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("open", pa.binary())])
 _FIELDS = "doc_id long, t int, lo long, n long, h long, part int, open binary"
-_OPEN = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("t", "<i4")])
+_OPEN = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("t", "<i4"), ("more", "<u8")])
 
 
 def _gone(doc: np.ndarray, t: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
@@ -213,7 +215,7 @@ def _decide(contexts: DataFrame, kind: Kind, decide: Callable) -> DataFrame:
         boff = boff - boff[0]
         doc, text, lo, size, reps, units, h, unit = (t[c].to_numpy() for c in ("doc_id", "t", "lo", "size", "reps", "units", "h", "unit"))
         size, reps = size.astype(np.int64), reps.astype(np.int64)
-        removed, digest = decide(data, boff, doc, lo, size)  # by window, in order of contexts and offsets
+        removed, digest, more = decide(data, boff, doc, lo, size)  # by window, in order of contexts and offsets
         context = np.repeat(np.arange(n), size)
         offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         c, place, _ = _of_rows(removed, context, offset, size, reps)
@@ -222,8 +224,8 @@ def _decide(contexts: DataFrame, kind: Kind, decide: Callable) -> DataFrame:
             mine = (h[context] == h[first]) & (unit[context] == unit[first]) & ~removed
             c, place, w = _of_rows(mine, context, offset, size, reps)
             out = np.zeros(len(c), _OPEN)
-            out["digest"], out["doc"], out["t"], out["lo"] = digest[w], doc[c], text[c], lo[c] + place
-            out.sort(order=["digest", "doc", "lo"])
+            out["digest"], out["more"], out["doc"], out["t"], out["lo"] = digest[w], more[w], doc[c], text[c], lo[c] + place
+            out.sort(order=["digest", "more", "doc", "lo"])
             cuts = np.append(np.searchsorted(out["digest"], np.arange(units[first], dtype=np.uint64) * np.uint64((1 << 64) // int(units[first]))), len(out))
             for part, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if z > a:
@@ -259,16 +261,23 @@ def merged(arrays: list[np.ndarray], kind: Kind) -> np.ndarray:
     def later(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a["doc"] > b["doc"]) if kind.other_document else (a["doc"] > b["doc"]) | (a["doc"] == b["doc"]) & (a["lo"] > b["lo"])
 
-    heads = np.zeros(0, _OPEN)  # the earliest window of each digest in the arrays so far
+    def key(a: np.ndarray) -> np.ndarray:
+        """Both digests as 16 bytes that order as the numbers do."""
+        both = np.stack([a["digest"], a["more"]], axis=1).astype(">u8")
+        return both.view("S16").ravel()
+
+    heads, names = np.zeros(0, _OPEN), np.zeros(0, "S16")  # the earliest window of each pair of digests in the arrays so far
     for a in arrays:
-        own = a[np.append(True, a["digest"][1:] != a["digest"][:-1])]
-        at = np.searchsorted(heads["digest"], own["digest"])
+        k = key(a)
+        new = np.append(True, k[1:] != k[:-1])
+        own, k = a[new], k[new]
+        at = np.searchsorted(names, k)
         known = np.zeros(len(own), bool)
-        known[at < len(heads)] = heads["digest"][at[at < len(heads)]] == own["digest"][at < len(heads)]
+        known[at < len(names)] = names[at[at < len(names)]] == k[at < len(names)]
         spot = at[known]
         heads[spot] = np.where(later(heads[spot], own[known]), own[known], heads[spot])
-        heads = np.insert(heads, at[~known], own[~known])
-    return np.concatenate([a[later(a, heads[np.searchsorted(heads["digest"], a["digest"])])] for a in arrays])
+        heads, names = np.insert(heads, at[~known], own[~known]), np.insert(names, at[~known], k[~known])
+    return np.concatenate([a[later(a, heads[np.searchsorted(names, key(a))])] for a in arrays])
 
 
 def _merge(open_: DataFrame, kind: Kind) -> DataFrame:

@@ -152,12 +152,11 @@ def decide(window: int):
     def by_factors(data, off, doc, lo, size):
         starts, ends, tok = A.word_bounds(data, off)
         h = A.Hasher(data).ranges(starts, ends)
-        block = Block(np.unique(h, return_inverse=True)[1].astype(np.int64), tok, np.repeat(doc, np.diff(tok)))
+        block = Block(A.word_codes(data, starts, ends), tok, np.repeat(doc, np.diff(tok)))
         dup = parse(block, tok, window)
         context = np.repeat(np.arange(len(size)), size)
         at = tok[context] + np.arange(int(size.sum())) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
-        total, down = sequence_sums(h)
-        return dup[at], A.mix((total[at + window] - total[at]) * down[at])
+        return dup[at], *(A.span_hash(*sequence_sums(h, which), at, at + window) for which in (0, 1))
 
     return by_factors
 

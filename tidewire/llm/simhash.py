@@ -257,13 +257,12 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, tok = A.word_bounds(data, off)
     h = A.Hasher(A.LOWER[data]).ranges(starts, ends)
     n = np.diff(tok)
-    total, down = sequence_sums(h)
     size = np.minimum(n, SHINGLE)
     many = np.where(n > 0, n - size + 1, 0)
     first = np.cumsum(many) - many
     row = np.repeat(np.arange(len(n)), many)
     at = tok[row] + np.arange(int(many.sum())) - first[row]
-    shingles = A.mix((total[at + size[row]] - total[at]) * down[at])
+    shingles = A.span_hash(*sequence_sums(h), at, at + size[row])
     order = np.lexsort((shingles, row))
     shingles, row = shingles[order], row[order]
     new = _changes([row, shingles]) if len(row) else np.zeros(0, bool)

@@ -46,7 +46,7 @@ def decide(window: int):
         head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         removed = np.zeros(len(at), bool)
         removed[order] = (d[order] > d[head]) | (d[order] == d[head]) & (place[order] > place[head])
-        return removed, A.Hasher(data).ranges(at, at + window)
+        return removed, *(A.Hasher(data, which).ranges(at, at + window) for which in (0, 1))
 
     return by_suffixes
 

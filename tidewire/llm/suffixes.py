@@ -104,9 +104,6 @@ def of_words(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sa, kasai(keys, off, rem, sa), rem
 
 
-def sequence_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and inverse powers, to hash any run of word hashes at once."""
-    up, down = A.powers(len(h))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return total, down
+def sequence_sums(h: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums and inverse powers, to hash any run of word hashes at once (see ``arrays.span_hash``)."""
+    return A.prefix_sums(h, which), A.powers(len(h), which)[1]
