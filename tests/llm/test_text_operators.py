@@ -321,3 +321,27 @@ def test_words_are_split_at_six_characters_only(text):
     s, e, w = arrays.word_bounds(data, off)
     raw = data.tobytes()
     assert [raw[a:b].decode() for a, b in zip(s, e, strict=True)] == re.findall(r"[^\x20\x09-\x0D]+", text) * 2 and w[-1] == len(s)
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ.", "eyJa.eyJ", "ghp_", "npm_", "password", "password=", "token: ", "AKIA", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----abc ", "abcdef0"])
+def test_secret_scan_of_a_megabyte_is_linear(unit):
+    from time import perf_counter
+
+    text = (unit * (1_000_000 // len(unit))).encode()
+    began = perf_counter()
+    secret_scan.spans(text)
+    assert perf_counter() - began < 4
+
+
+def test_web_tokens_that_fail_do_not_hide_others():
+    """Against trying the expression at every place."""
+    r = random.Random(8)
+    good = "eyJhIjoxfQ.eyJiIjoyfQ.c2ln"
+    for _ in range(300):
+        text = "".join(r.choice(["eyJ", ".", "eyJhIjoxfQ", "eyJiIjoyfQ", " ", "x", good, "a.b"]) for _ in range(r.randrange(1, 14))).encode()
+        want, at = [], 0
+        while m := secret_scan.PATTERNS["jwt"].search(text, at):
+            if secret_scan._valid("jwt", m):
+                want.append((m.start(), m.end()))
+            at = m.end()
+        assert [(a, b) for a, k, b in secret_scan.spans(text) if secret_scan.KINDS[k] == "jwt"] == want

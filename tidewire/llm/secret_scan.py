@@ -58,9 +58,10 @@ PATTERNS = {
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "github": re.compile(rb"gh[pousr]_[A-Za-z0-9]+"),
     "npm": re.compile(rb"npm_[A-Za-z0-9]+"),
-    "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]*)\.(eyJ[A-Za-z0-9_-]*)\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(rb"-----BEGIN ((?:[A-Z]+ ){0,2}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END ((?:[A-Z]+ ){0,2}PRIVATE KEY)-----"),
+    "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]*+)\.(eyJ[A-Za-z0-9_-]*+)\.[A-Za-z0-9_-]+"),
+    "pem": re.compile(rb"-----BEGIN ((?:[A-Z]+ ){0,2}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END ((?:[A-Z]+ ){0,2}PRIVATE KEY)-----"),
 }
+_PART = re.compile(rb"[A-Za-z0-9_-]*+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")  # the maximal runs of 24 characters or more
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -117,6 +118,9 @@ def spans(text: bytes) -> list[tuple[int, int, int]]:
             free[kind] = m.end()
             if _valid(kind, m):
                 found.append((at, KINDS.index(kind), m.end()))
+        elif kind == "jwt":
+            # A later hit in the same part reads the same characters to the same end, and fails as well.
+            free[kind] = _PART.match(text, at).end()
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(found)
 
