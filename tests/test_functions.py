@@ -401,3 +401,31 @@ def test_a_replayed_batch_keeps_its_rows(spark, tmp_path):
     for f in [*commits.glob("2"), *commits.glob(".2.crc")]:
         f.unlink()
     assert table() == first
+
+
+def test_cues_of_several_words_come_from_a_table(spark):
+    """Phrases of any list are matched over word numbers; lists of a table replace the defaults."""
+    rows = [("org_cues", "joint venture with", None), ("institutions", "weather bureau", None), ("sale_phrases", "hits the shelves", None), ("product_nouns", "spacecraft", None), ("given_names", "Ulla", None)]
+    lex = E.Lexicon.from_table(spark.createDataFrame(rows, "list string, word string, value string"))
+    assert names_of("They signed a joint venture with the Zorba today.", lex)["zorba"] == ("Zorba", "org")
+    assert names_of("It was said by the weather bureau of Belvern.", lex)["belvern"] == ("Belvern", "place")
+    assert names_of("Soon the Quill hits the shelves.", lex)["quill"] == ("Quill", "product")
+    assert names_of("They praised Vega, a new small spacecraft.", lex)["vega"] == ("Vega", "product")
+    assert names_of("They praised Vega, who loved his new small red spacecraft.", lex)["vega"] == ("Vega", "concept")
+    assert names_of("They met Ulla Berg there.", lex)["ulla berg"] == ("Ulla Berg", "person")
+    assert names_of("They met Jane Berg there.", lex)["jane berg"] == ("Jane Berg", "concept")
+
+
+def test_names_are_read_alike_alone_and_with_others():
+    texts = ["The minister met Jane Doe from Acme Corp in London.", None, "", "Launched Foo, its first app. Foo's maker", "A", "Jean-Luc O’Neil’s Bank of England", "in", "London", "x " * 50 + "Bank", "an AI"]
+    reader = E.Reader()
+    got = {}
+    for row, *name in reader.read_all(texts).itertuples(index=False, name=None):
+        got.setdefault(row, []).append(tuple(name))
+    assert [got.get(i, []) for i in range(len(texts))] == [reader.read(t) for t in texts]
+
+
+def test_kinds_of_a_table_of_any_size(spark):
+    names = spark.createDataFrame([(1, "acme", "Acme", "concept", 2), (2, "x", "X", "org", 1)], "doc_id long, key string, name string, kind string, mentions long")
+    known = spark.createDataFrame([("acme", "org"), ("acme", "product"), ("other", "place")], "key string, kind string")
+    assert sorted(map(tuple, E.named_kinds(names, known).collect())) == [(1, "acme", "Acme", "org", 2), (2, "x", "X", "org", 1)]

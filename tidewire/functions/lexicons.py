@@ -42,6 +42,7 @@ LAUNCH_VERBS = (
     "launch", "launched", "launches", "named", "names", "put", "puts", "relaunched", "released", "releases", "rolled",
     "sell", "sells", "selling", "sold", "unveiled", "unveils",
 )
+SALE_PHRASES = ("on sale",)
 LAUNCH_PHRASES = ("going on sale", "put on sale", "pushed out", "rolled out")
 DETERMINERS = ("a", "an", "first", "her", "his", "its", "new", "our", "own", "second", "that", "the", "their", "these", "this")
 NOISE_ACRONYMS = ("ai", "am", "api", "ceo", "cfo", "coo", "cto", "eu", "gdp", "id", "iot", "ipo", "it", "pm", "saas", "tv", "uk", "un", "us", "usa")
@@ -51,7 +52,6 @@ LEADING_QUALIFIERS = (
     "sacked", "sacks", "sold", "sells", "suing", "sues", "sued", "unveiled", "unveils",
     "analysis", "briefing", "breaking", "commentary", "editorial", "exclusive", "explainer", "interview", "opinion",
     "update", "updates", "former",
-    "kyiv", "pivdennyi", "pivnichyi", "pravoberezhnyi", "severnyi", "vostochnyi", "zapadnyi",
 )
 FURNITURE = (
     "advertisement", "article", "comments", "comment", "daily briefing", "feed", "hn", "permalink", "points", "rss",
