@@ -407,9 +407,9 @@ def test_cues_of_several_words_come_from_a_table(spark):
     """Phrases of any list are matched over word numbers; lists of a table replace the defaults."""
     rows = [("org_cues", "joint venture with", None), ("institutions", "weather bureau", None), ("sale_phrases", "hits the shelves", None), ("product_nouns", "spacecraft", None), ("given_names", "Ulla", None)]
     lex = E.Lexicon.from_table(spark.createDataFrame(rows, "list string, word string, value string"))
-    assert names_of("They signed a joint venture with the Zorba today.", lex)["zorba"] == ("Zorba", "org")
+    assert names_of("They signed a joint venture with Zorba today.", lex)["zorba"] == ("Zorba", "org")
     assert names_of("It was said by the weather bureau of Belvern.", lex)["belvern"] == ("Belvern", "place")
-    assert names_of("Soon the Quill hits the shelves.", lex)["quill"] == ("Quill", "product")
+    assert names_of("now our Quill hits the shelves.", lex)["quill"] == ("Quill", "product")
     assert names_of("They praised Vega, a new small spacecraft.", lex)["vega"] == ("Vega", "product")
     assert names_of("They praised Vega, who loved his new small red spacecraft.", lex)["vega"] == ("Vega", "concept")
     assert names_of("They met Ulla Berg there.", lex)["ulla berg"] == ("Ulla Berg", "person")

@@ -11,6 +11,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import evaluation as V
 from ..operators import grouping as G
+from ..streaming import assignment as A
 from ..streaming import ingest as I
 from .registry import query
 from .relational import crossed, members
@@ -268,6 +269,15 @@ def stm_05_06_online_assignment(t) -> DataFrame:
     return I.assign(s.select("topic", F.col("story").alias("article"), F.col("place").alias("at")), scores, "topic")
 
 
+@query()
+def stm_05_06_streamed(t) -> DataFrame:
+    """The same over a stream in slices of time, with state, watermark and timers."""
+    s = stories(t)
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x)).alias(c)
+    articles = s.select("topic", F.col("story").cast("long").alias("article"), F.col("place").cast("timestamp").alias("at"), hashed("words"), hashed("phrases"))
+    return A.replayed(articles, I.scratch(t.spark))
+
+
 @query("SELECT topic, CAST(epoch_ms(ts) // 21600000 * 21600000 AS BIGINT) AS window_ms, count(*) AS n FROM ev GROUP BY 1, 2")
 def stm_07_tumbling_windows(t) -> DataFrame:
     folder, spark = I.scratch(t.spark), t.spark
