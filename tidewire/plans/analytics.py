@@ -11,7 +11,9 @@ from ..functions import text as T
 from ..operators import archive as A
 from ..operators import feedback as B
 from ..operators import relational as R
+from ..operators import search_index as X
 from ..operators import trends as TR
+from ..streaming.ingest import scratch
 from .registry import query
 from .relational import day, joined
 from .scalars import settings
@@ -144,6 +146,41 @@ def arc_02_refresh(t) -> DataFrame:
     return A.refreshed(all_, changed).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("title") == "retitled").alias("changed"))
 
 
+#: The archive after three batches: all items, texts of every hundredth document rewritten, those of every seventh deleted.
+CHANGED = f"""{ITEMS}, changed AS (
+ SELECT kind, item_id, topic_id, CASE WHEN kind = 'text' AND TRY_CAST(item_id AS BIGINT) % 100 = 0 THEN 'retitled the end' ELSE title END AS title, CASE WHEN kind = 'text' AND TRY_CAST(item_id AS BIGINT) % 100 = 0 THEN 'and' ELSE body END AS body
+ FROM items WHERE NOT (kind = 'text' AND TRY_CAST(item_id AS BIGINT) % 7 = 0)),
+ hit AS (SELECT * FROM changed WHERE list_contains(string_split_regex(lower(concat_ws(' ', title, body)), '[^\\p{{L}}\\p{{N}}_]+'), 'the') AND list_contains(string_split_regex(lower(concat_ws(' ', title, body)), '[^\\p{{L}}\\p{{N}}_]+'), 'and'))
+"""
+
+
+def maintained(t) -> X.Index:
+    all_ = items(t)
+    index = X.Index(t.spark, scratch(t.spark), all_.schema)
+    text = (F.col("kind") == "text") & F.col("item_id").try_cast("long").isNotNull()
+    number = F.col("item_id").try_cast("long")
+    batches = (
+        all_.withColumn("deleted", F.lit(False)),
+        all_.where(text & (number % 100 == 0)).withColumns({"title": F.lit("retitled the end"), "body": F.lit("and"), "deleted": F.lit(False)}),
+        all_.where(text & (number % 7 == 0)).withColumn("deleted", F.lit(True)),
+    )
+    for i, changes in enumerate(batches):
+        index.apply(changes.withColumn("seq", F.lit(i)), i)
+    return index
+
+
+@query("SELECT kind, item_id, topic_id, title FROM hit", CHANGED)
+def arc_02_03_maintained_index(t) -> DataFrame:
+    return maintained(t).search(["The", "and"]).select("kind", "item_id", "topic_id", "title")
+
+
+@query("SELECT 'topic' AS facet, CAST(topic_id AS VARCHAR) AS value, count(*) AS n FROM hit GROUP BY 2 UNION ALL SELECT 'source', CAST(TRY_CAST(item_id AS BIGINT) % 20 AS VARCHAR), count(*) FROM hit WHERE kind IN ('text', 'snapshot') GROUP BY 2 UNION ALL SELECT 'entity', CAST(TRY_CAST(item_id AS BIGINT) % 50 AS VARCHAR), count(*) FROM hit WHERE kind IN ('text', 'snapshot') GROUP BY 2", CHANGED)
+def arc_05_filtered_facets(t) -> DataFrame:
+    """Facet counts of what a search finds, by intersection of lists; neither clusters nor feedback hold both words."""
+    index = maintained(t)
+    return index.facets(index.hits(["The", "and"]))
+
+
 @query("SELECT kind, item_id FROM items WHERE list_contains(string_split_regex(lower(title || ' ' || body), '[^\\p{L}\\p{N}_]+'), 'the') AND list_contains(string_split_regex(lower(title || ' ' || body), '[^\\p{L}\\p{N}_]+'), 'and')", ITEMS)
 def arc_03_match_all_terms(t) -> DataFrame:
     return A.having_terms(items(t), A.postings(items(t)), ["The", "and"]).select("kind", "item_id")
