@@ -172,6 +172,19 @@ def grp_02_clusters(t) -> DataFrame:
     return G.clusters(s, G.scored(s, C.SIGNATURE_FLOOR))
 
 
+def story_vectors(t) -> DataFrame:
+    """Stories with the vectors of their ids; sources that end in 3 have vectors of two models."""
+    e = t.read("embeddings").select(F.col("vec_id").cast("long").alias("story"), F.col("embedding").alias("vector"), (F.col("label") % 2).alias("odd"))
+    model = F.when(F.col("topic").endswith("3") & (F.col("odd") == 1), "m1").when(F.col("vector").isNotNull(), "m0")
+    return stories(t).join(e, "story", "left").select("topic", "story", "place", "words", "phrases", "vector", model.alias("model"))
+
+
+@query()
+def grp_02_04_gated_clusters(t) -> DataFrame:
+    """Both floors of the gate, and topics with vectors of several models refused."""
+    return G.formed(story_vectors(t))
+
+
 @query()
 def grp_03_pricing(t) -> DataFrame:
     """How many pairs a topic has, how many are walked, and how many clear the signature floor."""
@@ -265,7 +278,7 @@ def stm_03_backoff(t) -> DataFrame:
 @query()
 def stm_05_06_online_assignment(t) -> DataFrame:
     s = stories(t)
-    scores = G.scored(s, C.SAME_STORY).select("topic", "left", "right", F.col("signature").alias("score"))
+    scores = G.scored(s, C.SAME_STORY, hours=72).select("topic", "left", "right", F.col("signature").alias("score"))
     return I.assign(s.select("topic", F.col("story").alias("article"), F.col("place").alias("at")), scores, "topic")
 
 
