@@ -4,8 +4,10 @@ Both tokenizers read the same bytes.  Where a token of A and a token of B end at
 the same byte, a *group* ends: the tokens of both since the last such place,
 written ``a1,a2|b1``.  The tokens that end together are *linked*.
 
-1. A task walks its texts in pieces of bounded size.  Each piece interns its
-   groups: a distinct group is written once with a local code and its frequency,
+1. A task walks its texts in pieces of bounded size.  Texts are cut into chunks
+   at single spaces where neither tokenizer has a token over the cut (see CUT), so
+   a chunk is encoded once per piece however often it stands there.  Each piece
+   interns its groups: a distinct group is written once with a local code and its frequency,
    a document keeps its own codes and frequencies.  Piece and documents go to a
    table in the shared folder, so no later step tokenises again.
 2. The pieces' dictionaries meet by group: one row for each distinct group of the
@@ -28,7 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,6 +48,10 @@ from .session import stored
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: A single space between characters that are surely not white space.  A reads a space with what follows it, so a token starts there; B has no piece in which its space mark follows
+#: another character (checked when it is loaded), so no merge goes over it.
+CUT = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+KNOWN = 300_000  # encoded chunks that a worker remembers between pieces
 LONG = 32  # tokens from which a group is interned as a whole and not token by token
 
 
@@ -87,15 +95,34 @@ class Pair:
         self.b_bytes = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
-        """Tokens of each text; both are none where either does not spell a space and the text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(texts):
-            whole = b" " + t.encode()
-            if not t or b"".join(map(self.a_bytes.__getitem__, a[i])) != whole or b"".join(map(self.b_bytes.__getitem__, b[i])) != whole:
-                a[i], b[i] = [], []
-        return tuple(Tokens(np.fromiter((x for ids in v for x in ids), np.int64, sum(map(len, v))), np.append(0, np.cumsum([len(ids) for ids in v]))) for v in (a, b))
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+
+    def chunks(self, text: str) -> list[str]:
+        return (CUT.split(text) if self.cuts else [text]) if text else []
+
+    def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and B as packed numbers; empty where either does not spell a space and the text."""
+        out = []
+        for t, a, b in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
+            whole, a = b" " + t.encode(), a.ids
+            ok = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if ok else (b"", b""))
+        return out
+
+    def encode(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """The same, remembering short chunks."""
+        new = [c for c in chunks if c not in self.known]
+        made = dict(zip(new, self._encoded(new), strict=True)) if new else {}
+        out = [made[c] if c in made else self.known[c] for c in chunks]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        self.known.update((c, v) for c, v in made.items() if len(c) < 64)
+        return out
+
+
+def tokens(packed: list[bytes]) -> Tokens:
+    return Tokens(np.frombuffer(b"".join(packed), np.int32).astype(np.int64), np.append(0, np.cumsum([len(x) for x in packed], dtype=np.int64)) // 4)
 
 
 @lru_cache(maxsize=1)
@@ -157,24 +184,50 @@ ROW = pa.schema(
 _FIELDS = "piece string, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, codes array<int>, times array<int>, word string, code int, frequency long, documents long"
 
 
+def _chunked(texts: list[str], both: Pair) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
+    """Codes of the chunks of all texts, their offsets by text, and the encoded chunks.
+
+    A text with a chunk that is not spelled is judged as a whole, as one chunk; if it fails too it has none.
+    """
+    code: dict[str, int] = {}
+    of = [[code.setdefault(c, len(code)) for c in both.chunks(t)] for t in texts]
+    packed = both.encode(list(code))
+    failed = {i for i, (a, _) in enumerate(packed) if not a}
+    if failed:
+        whole = [i for i, codes in enumerate(of) if not failed.isdisjoint(codes)]
+        for i, ids in zip(whole, both._encoded([texts[i] for i in whole]), strict=True):
+            of[i] = [len(packed)] if ids[0] else []
+            packed.append(ids)
+    off = np.append(0, np.cumsum([len(x) for x in of], dtype=np.int64))
+    return np.fromiter((c for codes in of for c in codes), np.int64, int(off[-1])), off, packed
+
+
 def _piece(ids: pa.Array, texts: list[str], both: Pair) -> Iterator[pa.RecordBatch]:
-    a, b = both.encode(texts)
+    chunk, off, packed = _chunked(texts, both)
+    used, chunk = np.unique(chunk, return_inverse=True)  # chunks of texts that failed are gone
+    a, b = (tokens([packed[i][side] for i in used.tolist()]) for side in (0, 1))
     ga, gb, upto = groups(a, b, both.a_size, both.b_size)
     code, words = interned(a, b, ga, gb)
-    n, name = len(texts), uuid.uuid4().hex
-    row = np.repeat(np.arange(n), np.diff(upto))
-    key, times = np.unique(row * max(len(words), 1) + code, return_counts=True)
-    of, codes = key // max(len(words), 1), key % max(len(words), 1)
+    n, name, m = len(texts), uuid.uuid4().hex, len(words)
+    named = np.array(words, object)
+    told = np.array([";".join(named[code[i:z]].tolist()) for i, z in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], object)
+    digests = [hashlib.sha256(";".join(told[chunk[i:z]].tolist()).encode()).hexdigest() if z > i else "" for i, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    n_a, n_b, n_groups = (A.sums(np.diff(v)[chunk], off) for v in (a.off, b.off, upto))
+    # Distinct chunks of each text, then their groups.
+    wide = max(len(used), 1)
+    key, many = np.unique(np.repeat(np.arange(n), np.diff(off)) * wide + chunk, return_counts=True)
+    row, which = key // wide, key % wide
+    size = np.diff(upto)[which]
+    group = code[np.repeat(upto[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    key, back = np.unique(np.repeat(row, size) * max(m, 1) + group, return_inverse=True)
+    times = np.bincount(back, np.repeat(many, size), len(key)).astype(np.int64)
+    of, codes = key // max(m, 1), key % max(m, 1)
     cuts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
-    digests, named = [], np.array(words, object)
-    for i, z in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
-        digests.append(hashlib.sha256(";".join(named[code[i:z]].tolist()).encode()).hexdigest() if z > i else "")
     lists = [pa.ListArray.from_arrays(cuts, pa.array(v, pa.int32())) for v in (codes, times)]
-    none = [pa.nulls(n, ROW.field(i).type) for i in range(8, 12)]
-    yield A.batch(ROW, [name] * n, ids, np.diff(a.off), np.diff(b.off), np.diff(upto), digests, *lists, *none)
+    yield A.batch(ROW, [name] * n, ids, n_a, n_b, n_groups, digests, *lists, *(pa.nulls(n, ROW.field(i).type) for i in range(8, 12)))
     if words:
-        m = len(words)
-        yield A.batch(ROW, [name] * m, *(pa.nulls(m, ROW.field(i).type) for i in range(1, 8)), words, np.arange(m), np.bincount(code, minlength=m), np.bincount(codes, minlength=m))
+        frequency = np.bincount(codes, times, m).astype(np.int64)
+        yield A.batch(ROW, [name] * m, *(pa.nulls(m, ROW.field(i).type) for i in range(1, 8)), words, np.arange(m), frequency, np.bincount(codes, minlength=m))
 
 
 def encoded(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
