@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 PIECE_BYTES = 2_000_000
@@ -160,7 +161,7 @@ def span_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.n
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for each word, equal exactly for equal words: a hash proposes, bytes decide."""
-    codes = np.unique(Hasher(data).ranges(starts, ends), return_inverse=True)[1].astype(np.int64)
+    codes = pd.factorize(Hasher(data).ranges(starts, ends).view(np.int64))[0].astype(np.int64)
     if not len(codes):
         return codes
     first = np.full(int(codes.max()) + 1, -1)
@@ -184,11 +185,11 @@ def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
     """A number for each run of ``size`` consecutive codes, equal exactly for equal runs: runs of twice the size are pairs."""
 
     def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64) if len(a) else a
+        return pd.factorize(a * (int(b.max()) + 1) + b)[0].astype(np.int64) if len(a) else a
 
     if len(codes) < size:
         return np.empty(0, np.int64)
-    out, have = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+    out, have = pd.factorize(codes)[0].astype(np.int64), 1
     while have < size:
         step = min(have, size - have)
         out = paired(out[: len(out) - step], out[step:])
