@@ -11,6 +11,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import evaluation as V
 from ..operators import grouping as G
+from ..session import checkpoint
 from ..streaming import assignment as A
 from ..streaming import ingest as I
 from .registry import query
@@ -195,14 +196,30 @@ def grp_03_pricing(t) -> DataFrame:
     return n.join(walked, "topic", "left").join(clear, "topic", "left").select("topic", "pairs", F.coalesce("walked", F.lit(0)).alias("walked"), F.coalesce("cleared", F.lit(0)).alias("cleared"))
 
 
-@query()
+def formed_twice(t) -> tuple[DataFrame, DataFrame]:
+    """What a topic holds from the mornings, and what its afternoons form: (topic, cluster, story), (topic, old_id, story)."""
+    parts = t.ev.select((F.col("user_id") % 5).alias("topic"), F.col("user_id").alias("story"), "k", F.hour("ts").alias("hour"))
+    new = parts.where("hour >= 12").select("topic", (F.col("k") % 12).alias("cluster"), "story").distinct()
+    held = parts.where("hour < 12").select("topic", F.concat(F.lit("old-"), (F.col("k") % 9).cast("string")).alias("old_id"), "story").distinct()
+    return new, held
+
+
+TWICE = "new AS (SELECT DISTINCT user_id % 5 AS topic, k % 12 AS cluster, user_id AS story FROM ev WHERE hour(ts) >= 12), held AS (SELECT DISTINCT user_id % 5 AS topic, 'old-' || (k % 9) AS old_id, user_id AS story FROM ev WHERE hour(ts) < 12), claims AS (SELECT topic, cluster, old_id, n, size FROM (SELECT new.topic, cluster, old_id, count(*) AS n FROM new JOIN held ON held.topic = new.topic AND held.story = new.story GROUP BY 1, 2, 3) JOIN (SELECT topic AS st, cluster AS sc, count(*) AS size FROM new GROUP BY 1, 2) ON st = topic AND sc = cluster), granted AS (SELECT topic, cluster, old_id FROM (WITH RECURSIVE g AS (SELECT *, FALSE AS won FROM claims UNION ALL SELECT topic, cluster, old_id, n, size, cluster = c AND old_id = o FROM (SELECT *, first_value(cluster) OVER w AS c, first_value(old_id) OVER w AS o FROM g WHERE NOT won WINDOW w AS (PARTITION BY topic ORDER BY n DESC, size DESC, cluster, old_id)) WHERE (cluster = c) = (old_id = o)) SELECT * FROM g) WHERE won)"
+
+
+@query("SELECT topic, cluster, old_id FROM granted", TWICE)
 def grp_05_ord_04_inherit_ids(t) -> DataFrame:
-    held = t.ev.where("topic = 'view'").select((F.col("user_id") % 5).alias("topic"), F.col("user_id"), F.concat(F.lit("old-"), (F.col("k") % 9).cast("string")).alias("old_id")).distinct()
-    new = t.ev.where("topic = 'click'").select((F.col("user_id") % 5).alias("topic"), F.col("user_id"), (F.col("k") % 12).alias("cluster")).distinct()
-    overlap = new.join(held, ["topic", "user_id"]).groupBy("topic", "cluster", "old_id").agg(F.count("*").alias("n"))
+    new, held = formed_twice(t)
+    overlap = new.join(held, ["topic", "story"]).groupBy("topic", "cluster", "old_id").agg(F.count("*").alias("n"))
     return G.inherit_ids(overlap, new.groupBy("topic", "cluster").agg(F.count("*").alias("size")))
 
 
+@query("SELECT n.topic, n.cluster, coalesce(max(g.old_id), 'cluster-' || n.topic || '-' || min(story) || '-' || printf('%016x', CAST(sum(CAST('0x' || substr(md5(CAST(story AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT))) AS id, max(g.old_id) IS NOT NULL AS inherited FROM new n LEFT JOIN granted g ON g.topic = n.topic AND g.cluster = n.cluster GROUP BY 1, 2", TWICE)
+def grp_05_named_clusters(t) -> DataFrame:
+    """Every cluster under the id it inherits, or a new one."""
+    return G.named(*formed_twice(t))
+
+
 @query("SELECT cluster_id, round(article_count / greatest(1.0, (epoch_ms(now) - epoch_ms(created_at)) / 86400000.0), 6) AS velocity, article_count / greatest(1.0, (epoch_ms(now) - epoch_ms(created_at)) / 86400000.0) >= 0.05 AS active, (epoch_ms(now) - epoch_ms(created_at)) <= 86400000 AS over_floor FROM clusters, clock")
 def grp_06_07_08_velocity(t) -> DataFrame:
     v = G.velocity(F.col("article_count"), F.col("created_at"), F.col("now"))
@@ -398,6 +415,22 @@ def evl_09_largest_by_cell(t) -> DataFrame:
     return membership(t).groupBy("topic", "cluster").agg(F.count("*").alias("n")).groupBy("topic").agg(F.max("n").alias("largest"))
 
 
+GRID = (*(V.Cell(signature=f) for f in V.SIGNATURE_AXIS), *(V.Cell(semantic=f) for f in V.SEMANTIC_AXIS))
+
+
+@query()
+def evl_07_09_regrouped(t) -> DataFrame:
+    """Stories grouped anew at each floor of signatures and of vectors; neighbours in time of a topic whose vectors have one label are one event."""
+    s = story_vectors(t)
+    sound = s.join(G.mixed_sets(s).select("topic"), "topic", "left_anti")
+    scores = checkpoint(G.scored(sound, min(V.SIGNATURE_AXIS)))
+    label = t.read("embeddings").select(F.col("vec_id").cast("long").alias("story"), "label")
+    w = Window.partitionBy("topic").orderBy("place", "left")
+    pairs = sound.join(label, "story").select("topic", "place", F.col("story").alias("left"), "label")
+    after = pairs.select("left", F.lead("left").over(w).alias("right"), (F.col("label") == F.lead("label").over(w)).alias("same_event"))
+    return V.by_cell(checkpoint(V.regrouped(sound, scores, GRID)), after.where("right IS NOT NULL"), GRID)
+
+
 @query("SELECT topic_id, count(*) AS clusters, CAST(sum(article_count) AS BIGINT) AS articles, count(*) FILTER (WHERE state = 'active') AS active FROM clusters GROUP BY 1")
 def evl_10_reports(t) -> DataFrame:
     return t.clusters.groupBy("topic_id").agg(F.count("*").alias("clusters"), F.sum("article_count").alias("articles"), F.count_if(F.col("state") == "active").alias("active"))
