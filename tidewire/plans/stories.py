@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions import entities as E
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import backfill as K
 from ..operators import evaluation as V
 from ..operators import grouping as G
 from ..session import checkpoint
@@ -339,6 +340,24 @@ def stm_10_backfill(t) -> DataFrame:
     return I.backfill(items, provider, 3).select("id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("width"))
 
 
+@query("SELECT doc_id AS id, CASE WHEN length(text) % 14 = 7 THEN NULL WHEN text IS NOT NULL THEN 2 END AS width FROM documents")
+def stm_10_resumed_backfill(t) -> DataFrame:
+    """Two runs: what the first refuses is sent again, what it stored is not."""
+    items = t.read("documents").select(F.col("doc_id").alias("id"), "text")
+
+    def refusing(every: int, rest: int):
+        def provider(texts):
+            if any(len(x) % every == rest for x in texts):
+                raise ValueError("refused")
+            return [[float(len(x)), 1.0] for x in texts]
+
+        return provider
+
+    folder = I.scratch(t.spark)
+    K.resume(items, refusing(2, 1), 2, folder, pages=4)
+    return K.resume(items, refusing(7, 0), 2, folder, pages=4).select("id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("width"))
+
+
 # ---- evaluation ------------------------------------------------------------
 
 PAIRS = "scores AS (SELECT a.user_id AS left_id, b.user_id AS right_id, (a.user_id + b.user_id) % 3 = 0 AS same_event, round(a.v / 100, 4) AS signature, CASE WHEN a.user_id % 5 = 0 THEN NULL ELSE round(b.v / 100, 4) END AS semantic, round((a.v + b.v) / 200, 4) AS entity FROM (SELECT user_id, round(avg(value), 2) * 2 AS v FROM ev GROUP BY 1) a JOIN (SELECT user_id, round(avg(value), 2) * 2 AS v FROM ev GROUP BY 1) b ON b.user_id = a.user_id + 1)"
