@@ -288,13 +288,39 @@ def dsc_03_source_volume(t) -> DataFrame:
     return recent.groupBy("source_id").agg(F.count("*").alias("volume"))
 
 
-@query("SELECT b.topic_id AS template_id, count(DISTINCT b.entity_id) AS score FROM owned a JOIN owned b ON b.entity_id = a.entity_id AND b.topic_id <> a.topic_id WHERE a.topic_id = 1 AND b.topic_id NOT IN (4) GROUP BY 1", OWNED)
+RECOMMENDED = """SELECT topic_id AS template_id, sources, entities, sources + entities AS score, row_number() OVER (ORDER BY sources + entities DESC, title, topic_id) AS place FROM (
+SELECT t.topic_id, t.title,
+(SELECT count(DISTINCT s.source_name) FROM linked s WHERE s.topic_id = t.topic_id AND s.source_name IN (SELECT source_name FROM linked WHERE topic_id IN (1, 4))) AS sources,
+(SELECT count(DISTINCT o.entity_id) FROM owned o WHERE o.topic_id = t.topic_id AND o.entity_id IN (SELECT entity_id FROM owned WHERE topic_id IN (1, 4))) AS entities
+FROM topics t WHERE t.topic_id NOT IN (1, 4) AND lower(t.title) NOT IN (SELECT lower(title) FROM topics WHERE topic_id IN (1, 4))) WHERE sources + entities > 0"""
+
+
+@query(RECOMMENDED, OWNED + ", linked AS (SELECT topic_id, left(source_name, 1) AS source_name FROM topic_sources)")
 def dsc_04_recommendations(t) -> DataFrame:
-    """Shared entities of the user's topic 1 with templates not held (4 is)."""
-    own = owned(t)
-    mine = own.where("topic_id = 1").select("entity_id").distinct()
-    held = t.spark.createDataFrame([(1,), (4,)], "topic_id long")
-    return own.join(held, "topic_id", "left_anti").join(mine, "entity_id", "left_semi").groupBy(F.col("topic_id").alias("template_id")).agg(F.countDistinct("entity_id").alias("score"))
+    """Templates for a user who holds topics 1 and 4; outlets are told apart by the initial of their name, so topics share some."""
+    held = t.topics.where("topic_id IN (1, 4)").select("topic_id", "title")
+    sources = t.topic_sources.select("topic_id", F.substring("source_name", 1, 1).alias("item"))
+    entities = owned(t).select("topic_id", F.col("entity_id").alias("item"))
+    return recommended(t.topics, held, sources, entities).withColumnRenamed("topic_id", "template_id")
+
+
+def recommended(templates: DataFrame, held: DataFrame, sources: DataFrame, entities: DataFrame) -> DataFrame:
+    """(topic_id, sources, entities, score, place): a point for each source and each entity shared with what is held, by score and title.
+
+    ``templates`` and ``held``: topic_id, title.  ``sources`` and ``entities``: topic_id, item.  A template that is held,
+    or whose title reads like a held one's, is left out, as is one that shares nothing.
+    """
+    key = T.title_key(F.coalesce("title", F.lit("")))
+    free = templates.select("topic_id", "title", key.alias("key")).join(held.select("topic_id"), "topic_id", "left_anti").join(held.select(key.alias("key")), "key", "left_anti")
+
+    def shared(of: DataFrame, name: str) -> DataFrame:
+        mine = of.join(held.select("topic_id"), "topic_id", "left_semi").select("item").distinct()
+        return of.distinct().join(mine, "item", "left_semi").groupBy("topic_id").agg(F.count("item").alias(name))
+
+    none = {"sources": 0, "entities": 0}
+    both = free.join(shared(sources, "sources"), "topic_id", "left").join(shared(entities, "entities"), "topic_id", "left").fillna(none)
+    scored = both.select("topic_id", "title", "sources", "entities", (F.col("sources") + F.col("entities")).alias("score")).where("score > 0")
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "title", "topic_id"))).drop("title")
 
 
 @query("SELECT s.topic_id, CAST(sum(v.n) AS BIGINT) AS mentions FROM topic_sources s JOIN (SELECT source_id, count(*) AS n FROM articles, clock WHERE published_at >= now - INTERVAL 37 DAY AND published_at < now GROUP BY 1) v ON v.source_id = s.source_id GROUP BY 1")
