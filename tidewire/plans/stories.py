@@ -439,15 +439,13 @@ GRID = (*(V.Cell(signature=f) for f in V.SIGNATURE_AXIS), *(V.Cell(semantic=f) f
 
 @query()
 def evl_07_09_regrouped(t) -> DataFrame:
-    """Stories grouped anew at each floor of signatures and of vectors; neighbours in time of a topic whose vectors have one label are one event."""
+    """Stories grouped anew at each floor of signatures and of vectors; pairs that share words are one event if their vectors have one label."""
     s = story_vectors(t)
     sound = s.join(G.mixed_sets(s).select("topic"), "topic", "left_anti")
     scores = checkpoint(G.scored(sound, min(V.SIGNATURE_AXIS)))
-    label = t.read("embeddings").select(F.col("vec_id").cast("long").alias("story"), "label")
-    w = Window.partitionBy("topic").orderBy("place", "left")
-    pairs = sound.join(label, "story").select("topic", "place", F.col("story").alias("left"), "label")
-    after = pairs.select("left", F.lead("left").over(w).alias("right"), (F.col("label") == F.lead("label").over(w)).alias("same_event"))
-    return V.by_cell(checkpoint(V.regrouped(sound, scores, GRID)), after.where("right IS NOT NULL"), GRID)
+    of = lambda side: t.read("embeddings").select(F.col("vec_id").cast("long").alias(side), F.col("label").alias(f"{side}_label"))
+    pairs = scores.join(of("left"), "left").join(of("right"), "right").select("left", "right", (F.col("left_label") == F.col("right_label")).alias("same_event"))
+    return V.by_cell(checkpoint(V.regrouped(sound, scores, GRID)), pairs, GRID)
 
 
 @query("SELECT topic_id, count(*) AS clusters, CAST(sum(article_count) AS BIGINT) AS articles, count(*) FILTER (WHERE state = 'active') AS active FROM clusters GROUP BY 1")
