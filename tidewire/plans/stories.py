@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import backfill as K
 from ..operators import evaluation as V
 from ..operators import grouping as G
+from ..operators import identity as N
 from ..session import checkpoint
 from ..streaming import assignment as A
 from ..streaming import ingest as I
@@ -78,6 +79,68 @@ def txt_14_15_reconcile(t) -> DataFrame:
     return E.reconcile(p, identities(t)).agg(F.count("*").alias("links"), F.countDistinct("key").alias("identities"))
 
 
+NOUN = "split_part(p.p_name, ' ', 2) || CAST(e.user_id % 40 AS VARCHAR)"
+MENTIONS = f"""ment AS (SELECT e.event_id AS seq, {NOUN} AS part_, CASE WHEN e.event_id % 3 = 0 THEN {NOUN} ELSE split_part(p.p_name, ' ', 1) || ' ' || {NOUN} END AS key FROM ev e JOIN part p ON p.p_partkey = e.k),
+full_ AS (SELECT *, row_number() OVER (PARTITION BY part_ ORDER BY since) AS i FROM (SELECT key, part_, min(seq) AS since FROM ment WHERE split_part(key, ' ', 1) IN ('small', 'red', 'old') GROUP BY 1, 2)),
+short_ AS (SELECT m.seq, m.key, count(f.key) AS before FROM ment m LEFT JOIN full_ f ON f.part_ = m.key AND f.since < m.seq WHERE m.key = m.part_ GROUP BY 1, 2),
+maker AS (SELECT key, before, min(seq) AS made FROM short_ WHERE before <> 1 GROUP BY 1, 2),
+owner AS (SELECT f.*, coalesce(m.made, f.since) AS entity, m.made IS NOT NULL AS took FROM full_ f LEFT JOIN maker m ON m.key = f.part_ AND m.before = f.i - 1),
+other AS (SELECT seq, key, min(seq) OVER (PARTITION BY key) AS entity FROM ment WHERE key <> part_ AND key NOT IN (SELECT key FROM full_))"""
+
+
+def name_mentions(t) -> DataFrame:
+    """Events as mentions of names, a third of them short."""
+    p = t.read("part").select(F.col("p_partkey").alias("k"), F.split("p_name", " ").alias("w"))
+    noun = F.concat(F.col("w")[1], (F.col("user_id") % 40).cast("string"))
+    key = F.when(F.col("event_id") % 3 == 0, noun).otherwise(F.concat_ws(" ", F.col("w")[0], noun))
+    return t.ev.join(p, "k").select(F.col("event_id").alias("seq"), F.col("event_id").alias("id"), F.concat(F.upper(key), F.lit(" #"), F.col("event_id").cast("string")).alias("name"), F.lit("person").alias("kind"), key.alias("key"))
+
+
+def given_names(t) -> DataFrame:
+    return t.spark.createDataFrame([("small",), ("red",), ("old",)], "given string")
+
+
+@query(
+    "SELECT m.seq, m.key, CASE WHEN m.seq > o.since THEN 'exact' WHEN o.took THEN 'takeover' ELSE 'new' END AS resolution, o.entity FROM ment m JOIN owner o ON o.key = m.key UNION ALL SELECT s.seq, s.key, CASE WHEN s.before = 1 THEN 'fuller' WHEN s.seq = m.made THEN 'new' ELSE 'exact' END, coalesce(m.made, o.entity) FROM short_ s LEFT JOIN maker m ON m.key = s.key AND m.before = s.before LEFT JOIN owner o ON o.part_ = s.key AND o.i = 1 UNION ALL SELECT seq, key, CASE WHEN seq = entity THEN 'new' ELSE 'exact' END, entity FROM other",
+    MENTIONS,
+)
+def txt_13_arrival_log(t) -> DataFrame:
+    """What each mention was resolved to when it came."""
+    none = t.spark.createDataFrame([], "id long, name string, kind string, key string")
+    return N.arrivals(name_mentions(t), none, given_names(t))[0]
+
+
+@query(
+    "SELECT e.id, upper(m.key) || ' #' || CAST(e.id AS VARCHAR) AS name, e.key FROM (SELECT entity AS id, key FROM owner UNION ALL SELECT m.made, m.key FROM maker m WHERE m.before = (SELECT count(*) FROM full_ f WHERE f.part_ = m.key) UNION ALL SELECT DISTINCT entity, key FROM other) e JOIN ment m ON m.seq = e.id",
+    MENTIONS,
+)
+def txt_14_entities_after_two_parts(t) -> DataFrame:
+    """The entities after mentions that came in two parts; taken-over ones have longer keys and their first names."""
+    m, given = name_mentions(t), given_names(t)
+    middle = m.agg(F.max("seq")).first()[0] or 0
+    held = t.spark.createDataFrame([], "id long, name string, kind string, key string")
+    for part in (m.where(F.col("seq") * 2 <= middle), m.where(F.col("seq") * 2 > middle)):
+        held = checkpoint(N.arrivals(part, held, given)[1])
+    return held.select("id", "name", "key")
+
+
+STORED_NAMES = f"""rows_ AS (SELECT e.event_id AS id, {NOUN} AS part_, CASE WHEN e.event_id % 3 = 0 THEN {NOUN} ELSE split_part(p.p_name, ' ', 1) || ' ' || {NOUN} END AS key FROM ev e JOIN part p ON p.p_partkey = e.k),
+live AS (SELECT key, part_, min(id) FILTER (WHERE id % 5 = 0) AS good, min(id) AS any_ FROM rows_ GROUP BY 1, 2),
+keep AS (SELECT key, part_, coalesce(good, any_) AS id, good IS NULL AS late FROM live),
+into_ AS (SELECT k.key, CASE WHEN k.key = k.part_ THEN coalesce((SELECT arg_min(f.key, CAST(f.late AS INT) * 1000000000000 - length(f.key) * 1000000000 + f.id) FROM keep f WHERE f.part_ = k.key AND split_part(f.key, ' ', 1) IN ('small', 'red', 'old') AND f.key <> f.part_), k.key) ELSE k.key END AS into_ FROM keep k)"""
+
+
+@query("SELECT k.id, k.key, count(DISTINCT u.user_id) AS users FROM rows_ r JOIN into_ i ON i.key = r.key JOIN keep k ON k.key = i.into_ JOIN ev u ON u.event_id = r.id GROUP BY 1, 2", STORED_NAMES)
+def txt_15_reconciled(t) -> DataFrame:
+    """Stored names made one, and the users linked to each; every fifth row is stored under its key."""
+    m = name_mentions(t)
+    stored = m.select("id", F.upper("key").alias("name"), "kind", F.when(F.col("id") % 5 == 0, F.col("key")).otherwise("").alias("key"))
+    links = m.select(F.col("seq").alias("event_id"), F.col("id").alias("entity")).join(t.ev, "event_id").select(F.col("user_id").alias("article"), "entity")
+    kept, pointed = N.reconcile_stored(stored, links, given_names(t))
+    users = pointed.groupBy(F.col("entity").alias("id")).agg(F.count("*").alias("users"))
+    return kept.select("id", "key").join(users, "id").select("id", "key", "users")
+
+
 @query()
 def txt_16_reread_changes(t) -> DataFrame:
     """How many names of each text come and go when the lexicon changes."""
