@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import refresh as H
 from ..operators import service as S
+from ..streaming.ingest import scratch
 from .registry import query
 
 WANTED = "want AS (SELECT c_nationkey AS owner, c_custkey AS id, lower(c_mktsegment) AS base FROM customer), held AS (SELECT DISTINCT s_nationkey AS owner, CASE WHEN s_suppkey % 4 = 0 THEN 'building' ELSE 'machinery-' || CAST(s_suppkey % 4 + 1 AS VARCHAR) END AS slug FROM supplier)"
@@ -69,3 +71,43 @@ def stm_08_hourly_isolated(t) -> DataFrame:
     new = t.ev.groupBy(F.col("user_id").alias("topic_id"), hour.alias("hour")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
     old = t.ev.groupBy(F.col("user_id").alias("topic_id")).agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH").alias("hour")).withColumn("n", F.lit(-1).cast("long")).withColumn("top", F.lit(0.0))
     return S.publish(new, old, "topic_id", F.col("top") > 95).drop("top")
+
+
+def hourly(rows: DataFrame) -> dict[str, DataFrame]:
+    """Counts by hour and the highest value of a topic; a purchase above 20 in topics 3 and 11 raises."""
+    bad = F.col("topic").isin(3, 11) & F.col("late") & (F.col("type") == "purchase") & (F.col("value") > 20)
+    checked = F.when(bad, F.raise_error(F.lit("purchase out of range")).cast("double")).otherwise(F.col("value"))
+    hour = F.date_format("ts", "yyyy-MM-dd HH").alias("hour")
+    return {"hours": rows.groupBy("topic", hour).agg(F.count("*").alias("n"), F.max(checked).alias("top")), "totals": rows.groupBy("topic").agg(F.sum(F.when(F.col("type") == "click", 1).otherwise(0)).alias("clicks"))}
+
+
+HALVES = "ts2 AS (SELECT user_id % 16 AS topic, topic AS type, ts, value, ts > (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM ev) AS late FROM ev), failed AS (SELECT DISTINCT topic FROM ts2 WHERE topic IN (3, 11) AND late AND type = 'purchase' AND value > 20), seen AS (SELECT * FROM ts2 WHERE NOT late OR topic NOT IN (SELECT topic FROM failed))"
+
+
+def halves(t) -> tuple[DataFrame, DataFrame]:
+    """The events of the first half of the time, and all of them."""
+    a, b = t.ev.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).selectExpr("unix_micros(a) a", "unix_micros(b) b").first()
+    middle = F.timestamp_micros(F.lit((a or 0) + ((b or 0) - (a or 0)) // 2))
+    rows = t.ev.select((F.col("user_id") % 16).alias("topic"), F.col("topic").alias("type"), "ts", "value", (F.col("ts") > middle).alias("late"))
+    return rows.where(~F.col("late")), rows
+
+
+@query("SELECT h.topic, h.hour, h.n, h.top, c.clicks FROM (SELECT topic, strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n, max(value) AS top FROM seen GROUP BY 1, 2) h JOIN (SELECT topic, CAST(count(*) FILTER (WHERE type = 'click') AS BIGINT) AS clicks FROM seen GROUP BY 1) c ON c.topic = h.topic", HALVES)
+def stm_08_refreshed_topics(t) -> DataFrame:
+    """Two hourly runs over two tables; topics whose second run raises keep both tables of the first."""
+    first, both = halves(t)
+    folder = scratch(t.spark)
+    for rows in (first, both):
+        H.refresh(rows, "topic", hourly, folder)
+    hours, totals = (H.current(t.spark, folder, x, "topic").drop("run") for x in ("hours", "totals"))
+    return hours.join(totals, "topic").select("topic", "hour", "n", "top", "clicks")
+
+
+@query("SELECT topic, CAST(count(*) FILTER (WHERE type = 'click') AS BIGINT) AS clicks FROM ts2 WHERE NOT late OR topic % 4 > 1 GROUP BY 1 HAVING topic % 4 <> 1", HALVES)
+def trd_08_09_read_through(t) -> DataFrame:
+    """Topics of the first run are read as stored, asked ones that it lacks are measured over all rows."""
+    first, both = halves(t)
+    folder = scratch(t.spark)
+    H.refresh(first.where("topic % 4 < 2"), "topic", lambda rows: {"totals": hourly(rows)["totals"]}, folder)
+    asked = both.select("topic").where("topic % 4 <> 1")
+    return H.read_through(both, asked, "topic", lambda rows: {"totals": hourly(rows)["totals"]}, folder, "totals").select("topic", "clicks")
