@@ -6,12 +6,18 @@ for by the caller with :func:`small`, which checks their size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 SMALL_ROWS = 100_000
+#: Slices of a range that are counted at once, and rows few enough to be counted by value.
+SLICES = 1024
+FEW_ROWS = 10_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -54,9 +60,94 @@ def upsert(target: DataFrame, new: DataFrame, keys: Sequence[str], kept: Sequenc
     return target.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns).unionByName(put)
 
 
+def _key(df: DataFrame, by: str) -> tuple[Column, Callable[[object], Column]]:
+    """A number that orders a column, and the way back from it."""
+    kind = df.schema[by].dataType.typeName()
+    if kind == "timestamp":
+        return F.unix_micros(by), lambda v: F.timestamp_micros(F.lit(v))
+    if kind == "timestamp_ntz":
+        return F.unix_micros(F.col(by).cast("timestamp")), lambda v: F.timestamp_micros(F.lit(v)).cast("timestamp_ntz")
+    if kind == "date":
+        return F.unix_date(by), lambda v: F.date_from_unix_date(F.lit(v))
+    if kind in ("string", "binary", "struct", "array", "map", "boolean"):
+        raise TypeError(f"{by} is neither a number nor a time")
+    return F.col(by), F.lit
+
+
+def nth_largest(df: DataFrame, by: str, n: int) -> object | None:
+    """The ``n``-th largest of a column's numbers (times as microseconds, dates as days), ties counted singly; None if there are fewer. Null and NaN are no numbers.
+
+    Counts in ``SLICES`` equal slices of the range of values come to the driver; the slice with the ``n``-th is sliced again,
+    between its own least and greatest value, until few rows are left, whose values are counted one by one.  No
+    step sorts all rows or gathers them.
+    """
+    key, _ = _key(df, by)
+    keys = df.select(key.alias("k")).where(F.col("k").isNotNull() & ~F.isnan(F.col("k").cast("double")))
+    low, high, rows = keys.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    if n < 1 or rows < n:
+        return None
+    if math.inf in (high, -low):
+        # Infinite values have no place in a range.
+        most, least = keys.agg(F.count_if(F.col("k") == math.inf), F.count_if(F.col("k") == -math.inf)).first()
+        if n <= most or n > rows - least:
+            return math.inf if n <= most else -math.inf
+        n, rows, keys = n - most, rows - most - least, keys.where((F.col("k") < math.inf) & (F.col("k") > -math.inf))
+        low, high = keys.agg(F.min("k"), F.max("k")).first()
+    while rows > FEW_ROWS and low < high and float(low) < float(high):
+        inside = keys.where((F.col("k") >= F.lit(low)) & (F.col("k") <= F.lit(high)))
+        # Halves keep the span of doubles finite.
+        span = float(high) / 2 - float(low) / 2
+        at = F.least(F.floor((F.col("k").cast("double") / 2 - F.lit(float(low) / 2)) / F.lit(span) * SLICES), F.lit(SLICES - 1))
+        slices = inside.groupBy(at.alias("at")).agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).collect() if span > 0 else []
+        if len(slices) < 2:
+            break
+        for s in sorted(slices, key=lambda s: -s["at"]):
+            if s["n"] >= n:
+                low, high, rows = s["a"], s["b"], s["n"]
+                break
+            n -= s["n"]
+    values = keys.where((F.col("k") >= F.lit(low)) & (F.col("k") <= F.lit(high))).groupBy("k").agg(F.count("*").alias("n"))
+    for r in values.orderBy(F.desc("k")).limit(min(n, FEW_ROWS)).collect():
+        n -= r["n"]
+        if n <= 0:
+            return r["k"]
+    raise ValueError(f"more than {FEW_ROWS} values of {by} are one as double")
+
+
 def prune(df: DataFrame, newest: int, by: str) -> DataFrame:
-    """The ``newest`` rows by a time column; ties with the last of them stay."""
-    return df.withColumn("_r", F.rank().over(Window.orderBy(F.desc(by)))).where(F.col("_r") <= newest).drop("_r")
+    """The ``newest`` rows by a time or number; ties with the last of them stay.  Rows without one are the oldest, NaN is the newest.
+
+    Two or a few counts come first, see :func:`nth_largest`; then the rows are filtered by a literal, which reaches the scan.
+    """
+    if newest < 1:
+        return df.limit(0)
+    nan = df.where(F.isnan(by)).count() if df.schema[by].dataType.typeName() in ("double", "float") else 0
+    if nan >= newest:
+        return df.where(F.isnan(by))
+    bound = nth_largest(df, by, newest - nan)
+    return df if bound is None else df.where(F.col(by) >= _key(df, by)[1](bound))
+
+
+def pareto(cells: DataFrame, x: str, y: str, slices: int = 64) -> DataFrame:
+    """Rows that no other row dominates in the numbers ``x`` and ``y``; of equal rows all stay, rows with a null or NaN go.
+
+    By falling x, y must beat all before: within slices of x by a running maximum, over slices by their maxima,
+    of which ``slices`` come to the driver.  No pairs are compared and no task sees all rows.
+    """
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    best = checkpoint(cells.where(number(x) & number(y)).groupBy(x).agg(F.max(y).alias("_y")))
+    cuts = sorted(set(best.select(F.col(x).cast("double").alias("x")).approxQuantile("x", [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(x).cast("double"))) if cuts else F.lit(0)
+    best = best.withColumn("_at", at)
+    above: list[tuple] = []
+    top = None
+    for r in sorted(best.groupBy("_at").agg(F.max("_y").alias("top")).collect(), key=lambda r: -r["_at"]):
+        above.append((r["_at"], top))
+        top = r["top"] if top is None else max(top, r["top"])
+    tops = cells.sparkSession.createDataFrame(above, f"_at int, _over {best.schema['_y'].dataType.simpleString()}")
+    before = F.max("_y").over(Window.partitionBy("_at").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
+    front = best.join(F.broadcast(tops), "_at").withColumn("_above", F.greatest(before, "_over")).where("_above IS NULL OR _y > _above").select(x, "_y")
+    return cells.join(front, x).where(F.col(y) == F.col("_y")).select(*cells.columns)
 
 
 def contained(lists: DataFrame, column: str, ids: DataFrame, key: str) -> DataFrame:

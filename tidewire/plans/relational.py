@@ -484,12 +484,7 @@ def ord_13_pareto(t) -> DataFrame:
     return pareto(cells, "recall", "precision_")
 
 
-def pareto(cells: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no other row dominates, without comparing pairs: by falling x, y must beat all before."""
-    best = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("_y"))
-    above = F.max("_y").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_above", above).where("_above IS NULL OR _y > _above").select(x, "_y")
-    return cells.join(front, x).where(F.col(y) == F.col("_y")).select(*cells.columns)
+pareto = R.pareto
 
 
 # ---- set operations --------------------------------------------------------
