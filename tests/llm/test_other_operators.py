@@ -86,6 +86,26 @@ def test_relative_and_quoted_targets(spark):
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "allow", 2: "block"}
 
 
+def test_links_in_comments_scripts_and_quotes(spark):
+    url = "http://h.example.info/a/b.html"
+    cases = {
+        "<!-- <link rel=canonical href=x> -->": None,
+        "<!-- a <link rel=canonical href=x>": None,
+        '<script>"<link rel=canonical href=x>"</script><STYLE><meta property=og:url content=y></style >': None,
+        "<title><link rel=canonical href=x></title><link rel=canonical href=y>": "http://h.example.info/a/y",
+        '<link title="a > b" rel="canonical" href="x>y">': "http://h.example.info/a/x>y",
+        "<link title=don't rel=canonical href=x>": "http://h.example.info/a/x",
+        '<link rel="canonical" href="x': None,
+        "<!--" * 50_000: None,
+        "<script>" * 50_000: None,
+        "<link a='" * 50_000: None,
+        "<link " * 50_000: None,
+    }
+    rows = [(i, f"{url}?{i}", html) for i, html in enumerate(cases)]
+    got = {(int(r.a.split("?")[1]), r.b) for r in urls.alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(i, b) for i, b in enumerate(cases.values()) if b}
+
+
 def test_rules_that_are_not_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     want = sorted(map(str, urls.judge(pages).collect()))

@@ -29,6 +29,10 @@ from .session import checkpoint
 BROADCAST_RULES = 10_000
 #: The rules of the contract, as (host, path, verdict).
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+#: Text in which no tag counts: comments, and elements whose content is no markup, up to the end of the page if not closed.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp)\b.*?(?:</\1\s*+>|\z)"
+#: A tag to its end, or that of the page, so that a page is read once; a quote opens a value only after an equals sign.
+TAG = r"""(?is)<(?:link|meta)\b(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+(?:>|\z)"""
 #: Query parameters that never change a page.
 TRACKING = r"(?:utm_[A-Za-z]+|ref|fbclid|gclid)=[^&#]*"
 
@@ -99,9 +103,9 @@ def _absolute(target: Column, base: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) pairs of URLs that redirect to, or are canonical links of, each other."""
-    html = F.coalesce("html", F.lit(""))
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """(a, b) pairs of URLs that redirect to, or are canonical links of, each other; tags in comments, scripts and other text without markup do not count."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), NO_MARKUP, " ")
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda t: t.endswith(">"))
     value = r"""(?is)\b%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     of = lambda tag, name: F.concat(*[F.regexp_extract(tag, value % name, i) for i in (1, 2, 3)])
     goal = r"""(?is)url\s*=\s*(?:"([^"]*)|'([^']*)|([^\s"']\S*))"""
