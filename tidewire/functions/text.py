@@ -6,6 +6,9 @@ stand for display limits count UTF-16 units.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +49,8 @@ def trim(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return trim(F.regexp_replace(c, rf"{WS}+", " "))
+    # A single space is left as it is; after this no other white space is there to trim.
+    return F.trim(F.regexp_replace(c, rf"{WS}{{2,}}|(?! ){WS}", " "))
 
 
 def units(c: Column) -> Column:
@@ -54,20 +58,42 @@ def units(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+#: What a text must hold for each pattern of ``FEED_METADATA`` to match; words with a capital as they are, others in any case.
+_NEEDED = (("doi:",), ("continue reading",), ("first appeared on",), ("missed this morning",), ("By",), ("photo", "image", "picture", "credit"), ("credit",), ("caption",), (":",), ("http",))
+
+
+def _holds(c: Column, words: tuple[str, ...]) -> Column:
+    exact = [F.contains(c, F.lit(w)) for w in words if w != w.lower()]
+    folded = [w for w in words if w == w.lower()]
+    if folded:
+        exact.append(bound(F.lower(c), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in folded])))
+    return reduce(lambda a, b: a | b, exact)
+
+
 def strip_feed_metadata(c: Column) -> Column:
-    for pattern, to, once in FEED_METADATA:
+    def step(needed: tuple[str, ...], pattern: str, to: str, once: bool) -> Callable[[Column], Column]:
         if once:
             # A pattern behind everything before its first match matches once.
             flags, rest = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-            c = F.regexp_replace(c, rf"{flags}\A([\s\S]*?)(?:{rest})", f"$1{to}")
-        else:
-            c = F.regexp_replace(c, pattern, to)
-    return collapse(c)
+            pattern, to = rf"{flags}\A([\s\S]*?)(?:{rest})", f"$1{to}"
+        return lambda x: F.when(_holds(x, needed), F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    def all_steps(x: Column) -> Column:
+        for rule, needed in zip(FEED_METADATA, _NEEDED, strict=True):
+            x = bound(x, step(needed, *rule))
+        return x
+
+    return collapse(bound(c, lambda x: F.when(_holds(x, tuple(sorted({w for needed in _NEEDED for w in needed}))), all_steps(x)).otherwise(x)))
 
 
 def article_text(title: Column, body: Column) -> Column:
     head, rest = trim(F.coalesce(title, F.lit(""))), strip_feed_metadata(F.coalesce(body, F.lit("")))
-    return F.when(head == "", rest).when(rest == "", head).otherwise(F.concat(head, F.lit("\n"), rest))
+    return bound(F.struct(head.alias("head"), rest.alias("rest")), lambda p: F.when(p["head"] == "", p["rest"]).when(p["rest"] == "", p["head"]).otherwise(F.concat(p["head"], F.lit("\n"), p["rest"])))
 
 
 def strip_markup(c: Column) -> Column:
