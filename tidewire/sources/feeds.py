@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, strip_feed_metadata, strip_markup
+from ..functions.text import bound, collapse, strip_feed_metadata, strip_markup
 
 #: Named character references, case-sensitive.
 NAMED = dict(
@@ -26,23 +24,19 @@ def _point(code: Column) -> Column:
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def _numeric(c: Column, pattern: str, base: int) -> Column:
+def _numeric(text: Column, pattern: str, base: int) -> Column:
     """Each numeric reference replaced by its character, by the distinct references of the text."""
-    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
 
     def put(text: Column, ref: Column) -> Column:
         digits = F.regexp_extract(ref, pattern, 1)
         code = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("long"))
-        return F.replace(text, ref, F.coalesce(_point(code), ref))
+        return F.replace(text, ref, F.coalesce(bound(code, _point), ref))
 
-    return F.aggregate(refs, c, put)
+    refs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    return bound(text, lambda c: F.when(F.contains(c, F.lit("&#")), F.aggregate(refs(c), c, put)).otherwise(c))
 
 
-def decode_entities(c: Column) -> Column:
-    """CDATA, then hexadecimal, decimal and named references, ``&amp;`` last."""
-    c = F.regexp_replace(c, r"<!\[CDATA\[([\s\S]*?)\]\]>", "$1")
-    c = _numeric(c, r"&#[xX]([0-9a-fA-F]+);", 16)
-    c = _numeric(c, r"&#(\d+);", 10)
+def _named(c: Column) -> Column:
     # One pass over the text: split at references, so that what one gives is not read again.
     known = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
     parts = F.regexp_extract_all(c, F.lit(r"&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0))
@@ -50,6 +44,14 @@ def decode_entities(c: Column) -> Column:
     return F.replace(F.array_join(F.transform(parts, one), ""), F.lit("&amp;"), F.lit("&"))
 
 
+def decode_entities(text: Column) -> Column:
+    """CDATA, then hexadecimal, decimal and named references, ``&amp;`` last."""
+    c = F.regexp_replace(text, r"<!\[CDATA\[([\s\S]*?)\]\]>", "$1")
+    c = _numeric(c, r"&#[xX]([0-9a-fA-F]+);", 16)
+    c = _numeric(c, r"&#(\d+);", 10)
+    return bound(c, lambda x: F.when(F.contains(x, F.lit("&")), _named(x)).otherwise(x))
+
+
 def clean(c: Column) -> Column:
     return collapse(decode_entities(c))
 
@@ -64,7 +66,7 @@ def elements(xml: Column, name: str) -> Column:
 
 
 def _first(*options: Column) -> Column:
-    return F.coalesce(*[F.when(o != "", o) for o in options], F.lit(""))
+    return F.coalesce(*[bound(o, lambda x: F.when(x != "", x)) for o in options], F.lit(""))
 
 
 def atom_link(entry: Column) -> Column:
@@ -77,12 +79,12 @@ def atom_link(entry: Column) -> Column:
 def published_at(entry: Column) -> Column:
     """The first date given; the epoch if it is missing or unreadable."""
     raw = F.regexp_replace(_first(*[tag(entry, x) for x in ("pubDate", "dc:date", "published", "updated")]), r"^[A-Za-z]{3,9},\s*", "")
-    return F.coalesce(*[F.try_to_timestamp(raw, F.lit(form)) for form in DATE_FORMS], F.timestamp_seconds(F.lit(0)))
+    return bound(raw, lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(form)) for form in DATE_FORMS], F.timestamp_seconds(F.lit(0))))
 
 
 def longest(*texts: Column) -> Column:
     """The longest text; the earlier of equally long ones."""
-    return reduce(lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best), texts)
+    return bound(F.array(*texts), lambda all_: F.aggregate(all_, all_[0], lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best)))
 
 
 def entries(feeds: DataFrame, xml: str = "xml", source: str = "source_id") -> DataFrame:
