@@ -429,3 +429,31 @@ def test_kinds_of_a_table_of_any_size(spark):
     names = spark.createDataFrame([(1, "acme", "Acme", "concept", 2), (2, "x", "X", "org", 1)], "doc_id long, key string, name string, kind string, mentions long")
     known = spark.createDataFrame([("acme", "org"), ("acme", "product"), ("other", "place")], "key string, kind string")
     assert sorted(map(tuple, E.named_kinds(names, known).collect())) == [(1, "acme", "Acme", "org", 2), (2, "x", "X", "org", 1)]
+
+
+def test_each_part_of_an_entry_is_read_once():
+    """Expressions do not grow with the number of steps: what a step names twice is computed once."""
+    from tidewire.sources import feeds
+
+    assert str(feeds.published_at(F.col("entry"))).count("pubDate") <= 2
+    assert str(feeds.longest(*[feeds.tag(F.col("entry"), x) for x in ("a", "b", "content", "d")])).count("content") <= 2
+    assert str(T.article_text(F.col("title"), F.col("body"))).count("body") <= 2
+
+
+def test_guards_let_every_rule_through(spark):
+    """Each rule of FEED_METADATA still applies, one after the other, also where a removal brings a word together."""
+    texts = {
+        "x doi:10.1/abc  The text.": "The text.", "Text. CONTINUE READING...": "Text.", "Text. The Post x First Appeared On y": "Text.", "A. MISSED this morning's one? We forgive you. Read it here. B": "A. B",
+        "By Ann Lee, Staff Writer\nText": "Text", "Text. Photo: Ann Lee. More": "Text. More", "Text. Credit BBC More": "Text. More", "CAPTION: one. Text": "Text", "Text. Points: 12 # more": "Text. more", "Text https://a.b/c more": "Text more",
+        "by Ann: plain　　 text ": "by Ann: plain text", "": "", " \n ": "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    wrong = df.withColumn("got", T.strip_feed_metadata(F.col("text"))).where(~F.col("got").eqNullSafe(F.col("want"))).collect()
+    assert not wrong
+
+
+def test_summaries_take_sentences_of_ranked_texts_only(spark, data):
+    from tidewire import plans
+
+    plan = plans.QUERIES["grp_09_10_summaries"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in plan and "split(" not in plan

@@ -294,7 +294,9 @@ def grp_06_07_08_velocity(t) -> DataFrame:
 @query()
 def grp_09_10_summaries(t) -> DataFrame:
     """Title, one-liner and up to three bullets, one per article, none said before."""
-    ranked = t.texts.select("source", "doc_id", "title", T.sentences(F.col("body")).alias("s"), F.row_number().over(Window.partitionBy("source").orderBy(F.desc("published_at"), "doc_id")).alias("r")).where("r <= 8")
+    ranked = t.texts.select("source", "doc_id", "title", "body", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("published_at"), "doc_id")).alias("r")).where("r <= 8")
+    # Sentences of the eight only, and once for all that is read of them.
+    ranked = checkpoint(ranked.select("source", "doc_id", "title", T.sentences(F.col("body")).alias("s"), "r"))
     head = ranked.where("r = 1").select("source", "title", F.coalesce(F.try_element_at("s", F.lit(1)), "title").alias("one_liner"))
     said = F.array(T.normalize(F.col("one_liner")), T.normalize(F.col("title")))
     first = ranked.select("source", "r", F.posexplode(F.concat("s", F.array(F.col("title").alias("title")))).alias("i", "bullet"))
