@@ -273,7 +273,7 @@ _SENTENCES = rf"sents AS (SELECT doc_id, unnest(string_split(regexp_replace(text
 
 @query("SELECT phrase, count(DISTINCT doc_id) AS documents FROM runs GROUP BY 1", _SENTENCES)
 def arr_03_phrases(t) -> DataFrame:
-    return t.texts.select("doc_id", F.explode(T.signature(F.col("text"))["phrases"]).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("documents"))
+    return t.texts.select("doc_id", F.explode(T.phrases(T.sentence_tokens(F.col("text")))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT CAST(vec_id AS BIGINT) AS vec_id, 64 AS width, round(CAST(embedding[1] AS DOUBLE), 5) AS first_value FROM embeddings")
