@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidewire import constants as C
@@ -105,3 +107,46 @@ def test_a_table_without_rows_or_times(spark, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA).unionByName(spark.createDataFrame([("a", 99, None, [1], [])], SCHEMA))
     got = {r.article: r.story for r in assignment.replayed(df.repartition(3), str(tmp_path / "b"), slices=3, files=2).collect()}
     assert got == plain(rows) | {99: 99}
+
+
+def test_a_batch_calls_a_topic_once_however_many_hours_wait(spark, tmp_path, monkeypatch):
+    """Articles of nine days that come due at once are one call of a timer, and chunks are read in order and cut at the watermark."""
+    monkeypatch.setattr(assignment, "CHUNK", 5)
+
+    class State(dict):
+        removeKey, containsKey, updateValue, getValue, iterator = dict.__delitem__, dict.__contains__, dict.__setitem__, dict.__getitem__, dict.items
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getMapState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    rows = [r for r in articles(4) if r[0] == "a"]
+    ms = [int(r[2].timestamp() * 1000) for r in rows]
+    handle, worker = Handle(), assignment.Assigner(72)
+    worker.init(handle)
+    frame = pd.DataFrame({"ms": ms, "article": [r[1] for r in rows], "words": [np.array(r[3], np.int64) for r in rows], "phrases": [np.array(r[4], np.int64) for r in rows]})
+    frame = frame.sample(frac=1, random_state=1)
+    got = {}
+    for part in (frame[::2], frame[1::2]):  # chunks that overlap
+        list(worker.handleInputRows(("a",), iter([part]), None))
+    assert len(handle.timers) <= 2 and min(ms) < max(handle.timers) <= min(ms[:2]) + 9 * 24 * assignment.HOUR
+    for now in (ms[len(ms) // 2], ms[-1] + assignment.HOUR, ms[-1] + 80 * assignment.HOUR):
+        for pdf in worker.handleExpiredTimer(("a",), Clock(now), None):
+            assert set(pdf.article) == {a for a, m in zip([r[1] for r in rows], ms, strict=True) if m < now and a not in got}
+            got |= dict(zip(pdf.article, pdf.story, strict=True))
+        assert all(m >= now - 72 * assignment.HOUR for m, *_ in worker.stories.values())
+    assert got == plain(rows) and not worker.waiting and not worker.stories
+    assert len(handle.timers) <= 6
