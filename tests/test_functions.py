@@ -457,3 +457,21 @@ def test_summaries_take_sentences_of_ranked_texts_only(spark, data):
 
     plan = plans.QUERIES["grp_09_10_summaries"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents" not in plan and "split(" not in plan
+
+
+def test_several_lexicons_read_the_words_of_a_text_once(spark, monkeypatch):
+    """Names by each lexicon equal those read by it alone; the words are found once for all."""
+    texts = ["Officials met Acme Holdings in Berlin. The Widget Works said so.", None, "", "Mayor Ada Byron spoke; Byron left The Harbor Club.", "THE END"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    lexicons = [E.DEFAULT, E.Lexicon(furniture=(*E.DEFAULT.furniture, "byron", "acme holdings"))]
+    got = E.extract_each(df, lexicons)
+    for i, lex in enumerate(lexicons):
+        assert sorted(tuple(r)[:5] for r in got.where(F.col("lexicon") == i).collect()) == sorted(tuple(r) for r in E.extract(df, lex=lex).collect())
+    assert got.where("lexicon = 0").count() > got.where("lexicon = 1").count() > 0
+
+
+def test_a_changed_lexicon_is_one_pass_over_the_texts(spark, data):
+    from tidewire import plans
+
+    plan = plans.QUERIES["txt_16_reread_changes"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -144,11 +144,9 @@ def txt_15_reconciled(t) -> DataFrame:
 @query()
 def txt_16_reread_changes(t) -> DataFrame:
     """How many names of each text come and go when the lexicon changes."""
-    of = lambda lex, c: E.extract(t.texts, lex=lex).groupBy("doc_id").agg(F.collect_set("key").alias(c))
-    old, new = of(E.DEFAULT, "a"), of(E.Lexicon(furniture=(*E.DEFAULT.furniture, "the")), "b")
-    none = F.array().cast("array<string>")
-    both = old.join(new, "doc_id", "full").select("doc_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
-    return both.select("doc_id", F.size(F.array_except("b", "a")).alias("added"), F.size(F.array_except("a", "b")).alias("removed"))
+    both = E.extract_each(t.texts, [E.DEFAULT, E.Lexicon(furniture=(*E.DEFAULT.furniture, "the"))])
+    held = both.groupBy("doc_id", "key").agg(F.bool_or(F.col("lexicon") == 0).alias("old"), F.bool_or(F.col("lexicon") == 1).alias("new"))
+    return held.groupBy("doc_id").agg(F.count_if(F.col("new") & ~F.col("old")).cast("int").alias("added"), F.count_if(F.col("old") & ~F.col("new")).cast("int").alias("removed"))
 
 
 # ---- similarity and grouping -----------------------------------------------
