@@ -111,3 +111,17 @@ def test_numbers_of_many_chunks_do_not_meet(spark, index):
     index.apply(rows, 0)
     assert index.search(["common"]).count() == 100_000
     assert sorted(int(r.item_id) for r in index.search(["rare", "common"]).collect()) == list(range(0, 100_000, 1000))
+
+
+def test_postings_are_gathered_before_they_are_shuffled(spark, monkeypatch):
+    """2000 items of one batch that share three words are three rows, and what is written is shuffled once, without a pass to sample it."""
+    from tidewire.operators import search_index
+
+    items = spark.range(2000).coalesce(1).select(F.lit(5).cast("long").alias("chunk"), F.col("id").cast("int").alias("offset"), F.lit("The end, the END of").alias("title"), F.lit("").alias("body"))
+    rows = search_index._postings(items).collect()
+    assert sorted((r.term, r.chunk, len(r.offsets), r.offsets == sorted(r.offsets)) for r in rows) == [(w, 5, 2000, True) for w in ("end", "of", "the")]
+
+
+def test_an_index_without_batches_reads_nothing(index):
+    assert index._table("postings").schema.simpleString() == "struct<term:string,chunk:bigint,offsets:array<int>,bucket:int>"
+    assert index._table("postings")._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation <empty>")

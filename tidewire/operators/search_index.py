@@ -17,13 +17,16 @@ numbers; readers see it once its mark is written, which is last.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 KEY = ["kind", "item_id", "topic_id"]
-CHUNK, BUCKETS = 1 << 15, 64
+CHUNK, BUCKETS, PARTS = 1 << 15, 64, 4
 _POSTING = "term string, chunk long, offsets array<int>, bucket int"
 _FACET = "facet string, value string, chunk long, offsets array<int>"
 _DEAD = "chunk long, offset int"
@@ -44,6 +47,24 @@ def _listed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
 
 
+def _postings(items: DataFrame) -> DataFrame:
+    """(term, chunk, offsets) of items with chunk and offset: a row for each term and chunk of an Arrow batch, not for each word of an item."""
+
+    def lists(batches):
+        for b in batches:
+            row, words = pc.list_parent_indices(b.column(2)).to_numpy(), b.column(2).flatten().dictionary_encode()
+            if not len(row):
+                continue
+            code, chunk, offset = words.indices.to_numpy(), b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+            order = np.lexsort((offset, chunk, code))
+            code, chunk, offset = code[order], chunk[order], offset[order]
+            first = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(chunk) != 0)))
+            offsets = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(offset, pa.int32()))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), pa.array(chunk[first], pa.int64()), offsets], ["term", "chunk", "offsets"])
+
+    return items.select("chunk", "offset", words().alias("words")).mapInArrow(lists, "term string, chunk long, offsets array<int>")
+
+
 class Index:
     """``folder`` is shared by the cluster; ``schema`` is that of the items (kind, item_id, topic_id, title, body, source_ids, entity_ids and any others)."""
 
@@ -65,7 +86,8 @@ class Index:
     def _table(self, name: str, below: int | None = None) -> DataFrame:
         """Rows of the last generation and of the batches after it (before ``below``)."""
         generation, upto = self._state()
-        out = self.spark.createDataFrame([], self.tables[name])
+        # Nothing, which the optimiser knows to be nothing.
+        out = self.spark.range(1).where(F.lit(False)).select(F.from_json(F.lit("{}"), self.tables[name]).alias("x")).select("x.*")
         for kind, keep in (("batch", F.col("batch") > upto), ("generation", F.col("generation") == generation)):
             try:
                 rows = self.spark.read.schema(f"{self.tables[name]}, {kind} long").parquet(f"{self.folder}/{name}/{kind}")
@@ -81,7 +103,9 @@ class Index:
 
     def _write(self, name: str, rows: DataFrame, place: str) -> None:
         if name == "postings":
-            rows = rows.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "chunk").sortWithinPartitions("bucket", "term", "chunk")
+            # Dealt by parts of buckets, the lists of a term and chunk meet, are merged and sorted in one shuffle.
+            dealt = rows.withColumns({"bucket": _bucket(F.col("term")), "part": F.pmod(F.xxhash64("term"), F.lit(PARTS * BUCKETS))}).repartition("bucket", "part")
+            rows = dealt.groupBy("bucket", "part", "term", "chunk").agg(F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets")).drop("part").sortWithinPartitions("bucket", "term", "chunk")
             rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{place}")
         else:
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{place}")
@@ -101,7 +125,7 @@ class Index:
         new = self.spark.read.schema(self.tables["items"]).parquet(f"{self.folder}/items/{place}")
         held = self._table("items", batch).select(*KEY, "chunk", "offset")
         self._write("dead", held.join(last.select(*KEY), KEY, "left_semi").select("chunk", "offset").join(self._table("dead", batch), ["chunk", "offset"], "left_anti"), place)
-        self._write("postings", _listed(new.select("chunk", "offset", F.explode(words()).alias("term")), "term"), place)
+        self._write("postings", _postings(new), place)
         values = (("topic", F.array(F.col("topic_id"))), ("source", F.col("source_ids")), ("entity", F.col("entity_ids")))
         told = [new.select("chunk", "offset", F.lit(name).alias("facet"), F.explode(F.transform(v, lambda x: x.cast("string"))).alias("value")) for name, v in values]
         self._write("facets", _listed(told[0].unionByName(told[1]).unionByName(told[2]).where("value IS NOT NULL"), "facet", "value"), place)
