@@ -1,6 +1,7 @@
 """Boundary cases of the scalar functions and operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -475,3 +476,22 @@ def test_a_changed_lexicon_is_one_pass_over_the_texts(spark, data):
 
     plan = plans.QUERIES["txt_16_reread_changes"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_phrases_are_counted_by_document_and_a_pair_is_sent_once(spark, monkeypatch):
+    """Against a count by hand, in pieces of any size; runs of two and three words are shuffled as one row for each pair."""
+    from tidewire.operators import phrases as P
+
+    r = random.Random(3)
+    rows = [None, [], [[]], [["a"]], [["a", "b"], [], ["a", "b", "a", "b"]], *([[r.choice("abcdefg") for _ in range(r.randrange(6))] for _ in range(r.randrange(4))] for _ in range(60))]
+    want = {}
+    for doc in rows:
+        for phrase in {" ".join(s[i : i + k]) for s in doc or [] for k in (2, 3) for i in range(len(s) - k + 1)}:
+            want[phrase] = want.get(phrase, 0) + 1
+    df = spark.createDataFrame([(x,) for x in rows], "t array<array<string>>").repartition(3)
+    for size in (7, 2_000_000):
+        monkeypatch.setattr(P, "AT_ONCE", size)
+        got = P.documents(df, F.col("t")).collect()
+        assert len(got) == len(want) and {x.phrase: x.documents for x in got} == want
+    plan = P.documents(df, F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pair") == 1 and "hashpartitioning(phrase" not in plan and "hashpartitioning(pair#" in plan

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import phrases as P
 from ..sources import feeds
 from .registry import query
 
@@ -273,7 +274,7 @@ _SENTENCES = rf"sents AS (SELECT doc_id, unnest(string_split(regexp_replace(text
 
 @query("SELECT phrase, count(DISTINCT doc_id) AS documents FROM runs GROUP BY 1", _SENTENCES)
 def arr_03_phrases(t) -> DataFrame:
-    return t.texts.select("doc_id", F.explode(T.phrases(T.sentence_tokens(F.col("text")))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("documents"))
+    return P.documents(t.texts, T.sentence_tokens(F.col("text")))
 
 
 @query("SELECT CAST(vec_id AS BIGINT) AS vec_id, 64 AS width, round(CAST(embedding[1] AS DOUBLE), 5) AS first_value FROM embeddings")
