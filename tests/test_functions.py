@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,8 +479,8 @@ def test_a_changed_lexicon_is_one_pass_over_the_texts(spark, data):
     assert plan.count("MapInArrow") == 1
 
 
-def test_phrases_are_counted_by_document_and_a_pair_is_sent_once(spark, monkeypatch):
-    """Against a count by hand, in pieces of any size; runs of two and three words are shuffled as one row for each pair."""
+def test_phrases_are_counted_by_document_and_words_are_sent_once(spark, monkeypatch):
+    """Against a count by hand, in pieces of any size; what is shuffled goes by first word, once."""
     from tidewire.operators import phrases as P
 
     r = random.Random(3)
@@ -494,4 +495,7 @@ def test_phrases_are_counted_by_document_and_a_pair_is_sent_once(spark, monkeypa
         got = P.documents(df, F.col("t")).collect()
         assert len(got) == len(want) and {x.phrase: x.documents for x in got} == want
     plan = P.documents(df, F.col("t"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(pair") == 1 and "hashpartitioning(phrase" not in plan and "hashpartitioning(pair#" in plan
+    assert plan.count("Exchange hashpartitioning(first") == plan.count("Exchange hashpartitioning(first#") == 1 and "hashpartitioning(after" not in plan
+    monkeypatch.setattr(P, "SHARES", 1)
+    lists = pa.array([[["of", "the", "sea"], ["of", "the", "air"]], [["of", "the", "sea"]]], pa.list_(pa.list_(pa.string())))
+    assert P._counted(lists).drop_columns(["share"]).to_pylist() == [{"first": "of", "words": "the sea air", "counts": "2 2 1"}, {"first": "the", "words": "sea|air", "counts": "2|1"}]
