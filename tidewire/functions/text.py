@@ -28,18 +28,20 @@ _NAME = r"[A-Z][A-Za-z’'-]+"
 _ROLE = r"(?:[Ww]riter|[Rr]eporter|[Cc]orrespondent|[Ee]ditor|[Cc]hief|[Pp]hotographer|[Cc]olumnist|[Cc]ontributor|[Aa]nchor|[Jj]ournalist|[Aa]nalyst)s?"
 _LINE_START = r"(?:^|(?<=[\n\r  ]))"
 _LINE_END = r"(?=[\n\r  ]|\z)"
+# Java's \b also stands between letters that are not ASCII.
+_WORD_OPENS, _WORD_STOPS = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _CREDITED = rf"(?:{_LINE_START}[ ]*|(?<=[.!?][ ]))\b"
 #: What feeds put around an article's text, in the order of removal; each is (pattern, replacement, only the first).
 FEED_METADATA = (
     (rf"(?i)^{WS}*[^\n]{{0,200}}?doi:{NOT_WS}+{WS}*", "", False),
     (rf"(?i){WS}*Continue reading(?:\.{{2,}}|…)+{WS}*\z", "", False),
-    (rf"(?i){WS}*The post\b[\s\S]*?\bfirst appeared on\b[\s\S]*\z", "", False),
+    (rf"(?i){WS}*The post{_WORD_STOPS}[\s\S]*?{_WORD_OPENS}first appeared on{_WORD_STOPS}[\s\S]*\z", "", False),
     (rf"(?i){WS}*Missed this morning[^.\n?]*\?{WS}*We forgive you\.{WS}*Read it here{WS}*\.?", "", True),
     (rf"{_LINE_START}{WS}*By[ ]+{_NAME}(?:[ ]+(?:and[ ]+)?{_NAME})*(?:[ ]*,[ ]*(?:[A-Za-z’'-]+[ ]*)*(?:Staff[ ]+)?{_ROLE})?{WS}*{_LINE_END}", "", True),
     (rf"{_CREDITED}(?:[Pp]hotos?|[Pp]hotographs?|[Pp]hotographers?|[Ii]mages?|[Pp]ictures?|[Cc]redits?)(?:[ ]+[Cc]redits?)?(?:[ ]+by|:)[ ]*{_NAME}(?:[ ]+{_NAME})*\.?[ ]*", " ", False),
     (rf"{_CREDITED}[Cc]redits?[ ]+[A-Z][A-Z’'-]+\.?[ ]*", " ", False),
     (rf"(?i)^{WS}*Caption{WS}*:{WS}*[^\n.!?]*[.!?]?{WS}*", "", False),
-    (rf"\b[A-Z][A-Za-z ]{{0,24}}:[ \t]*(?:https?:\/\/{NOT_WS}*|\d[\d,.]*)[ \t]*(?:#)?[ \t]*", " ", False),
+    (rf"{_WORD_OPENS}[A-Z][A-Za-z ]{{0,24}}:[ \t]*(?:https?:\/\/{NOT_WS}*|\d[\d,.]*)[ \t]*(?:#)?[ \t]*", " ", False),
     (rf"https?:\/\/{NOT_WS}+", " ", False),
 )
 
