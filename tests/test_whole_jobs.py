@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tidewire import plans
+from tidewire.sources.testdata import Tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,3 +34,18 @@ def test_feed_metadata_is_stripped_from_every_text(on_texts):
     got = {r.doc_id: r.body for r in got.collect()}
     assert got == dict(want.fetchall()) and len(got) == len(bodies) + 1
     assert (got[7], got[8], got[10], got[12]) == ("", "Text. More", "é more", "plain text")
+
+
+def test_every_text_is_read_again_and_names_come_and_go(spark, data):
+    """Counts are those of the names that each lexicon finds by itself; a text without names has zeros."""
+    from tidewire.functions import entities as E
+    from tidewire.plans.stories import REREAD
+
+    got = {r.doc_id: (r.added, r.removed) for r in plans.QUERIES["txt_16_reread_changes"](spark, data).collect()}
+    texts = Tables(spark, data).texts.select("doc_id", "text").collect()
+    want = {}
+    for doc, text in texts:
+        old, new = ({key for key, *_ in E.Reader(lex).read(text)} for lex in (E.DEFAULT, REREAD))
+        want[doc] = (len(new - old), len(old - new))
+    assert got == want and len(got) == len(texts)
+    assert sum(x > 0 for x, _ in got.values()) > len(got) / 20 and sum(x > 0 for _, x in got.values()) > len(got) / 20

@@ -141,11 +141,16 @@ def txt_15_reconciled(t) -> DataFrame:
     return kept.select("id", "key").join(users, "id").select("id", "key", "users")
 
 
+#: Lists that have moved on: words that carry no subject are no names, acronyms are, and names no longer reach over connectors.
+REREAD = E.Lexicon(furniture=(*E.DEFAULT.furniture, *T.STOPWORDS), noise_acronyms=(), connectors=(), inner_words=())
+
+
 @query()
 def txt_16_reread_changes(t) -> DataFrame:
-    """How many names of each text come and go when the lexicon changes."""
-    both = E.extract_each(t.texts, [E.DEFAULT, E.Lexicon(furniture=(*E.DEFAULT.furniture, "the"))])
-    held = both.groupBy("doc_id", "key").agg(F.bool_or(F.col("lexicon") == 0).alias("old"), F.bool_or(F.col("lexicon") == 1).alias("new"))
+    """How many names of each text come and go when the lexicon changes; a text that keeps its names, or has none, has zeros."""
+    both = E.extract_each(t.texts, [E.DEFAULT, REREAD]).select("doc_id", "key", "lexicon")
+    every = both.unionByName(t.texts.select("doc_id", F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("lexicon")))
+    held = every.groupBy("doc_id", "key").agg(F.bool_or(F.col("lexicon") == 0).alias("old"), F.bool_or(F.col("lexicon") == 1).alias("new"))
     return held.groupBy("doc_id").agg(F.count_if(F.col("new") & ~F.col("old")).cast("int").alias("added"), F.count_if(F.col("old") & ~F.col("new")).cast("int").alias("removed"))
 
 
